@@ -16,6 +16,8 @@ SETTINGS = {
     # The equi-joins on address and id have a small unique side and a long, possibly
     # skewed side; AQE splits the long side's hot partition.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Merge streamed sessions of a busy id before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

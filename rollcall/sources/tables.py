@@ -11,16 +11,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def table_stream(
-    spark: SparkSession, folder: str, name: str, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    max_bytes_per_trigger: str = "4g",
+    max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Read the same table as a file stream.
 
-    ``max_files_per_trigger`` bounds a micro-batch, and with it the most rows a
-    stateful operator can see at once for one key.
+    The limits bound a micro-batch, and with it the rows a stateful operator can be
+    handed for one key at once. They set the pace only; every file is read.
     """
     reader = spark.readStream.schema(table(spark, folder, name).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     # A file stream takes a plain path for a directory only; as a pattern it may be
     # either a directory or a single file.
     return reader.parquet(f"{folder}/{{{name}.parquet}}")
