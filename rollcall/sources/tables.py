@@ -14,7 +14,7 @@ def table_stream(
     spark: SparkSession,
     folder: str,
     name: str,
-    max_bytes_per_trigger: str = "4g",
+    max_bytes_per_trigger: int = 4 << 30,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Read the same table as a file stream.
