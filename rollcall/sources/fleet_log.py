@@ -43,20 +43,30 @@ def _events_of(events: DataFrame, kind: str) -> DataFrame:
     return events.filter(F.col("event_type").isin(names))
 
 
+def _memory() -> Column:
+    return (512 * (1 + F.get_json_object("props", "$.k").cast("int") % 4)).cast("int")
+
+
+def _request() -> list[Column]:
+    """What a registration request says besides who sent it when."""
+    return [
+        _host().alias("host"),
+        F.lit(PORT).alias("port"),
+        _memory().alias("memory"),
+        F.floor(F.least(F.col("value"), _memory())).cast("int").alias("memory_used"),
+        F.lit(WEB_UI_PORT).alias("web_ui_port"),
+        _host().alias("public_address"),
+    ]
+
+
 def registrations(events: DataFrame) -> DataFrame:
     """One row per registration request, in the registration-message schema."""
-    memory = (512 * (1 + F.get_json_object("props", "$.k").cast("int") % 4)).cast("int")
     return _events_of(events, REGISTER).select(
         F.col("event_id").alias("seq"),
         "ts",
         _id().alias("id"),
         _address().alias("address"),
-        _host().alias("host"),
-        F.lit(PORT).alias("port"),
-        memory.alias("memory"),
-        F.floor(F.least(F.col("value"), memory)).cast("int").alias("memory_used"),
-        F.lit(WEB_UI_PORT).alias("web_ui_port"),
-        _host().alias("public_address"),
+        *_request(),
     )
 
 
@@ -76,8 +86,11 @@ def losses(events: DataFrame) -> DataFrame:
     return _messages(_events_of(events, LOST))
 
 
-def message_log(events: DataFrame) -> DataFrame:
-    """All three kinds in one scan: ``seq, ts, kind, id, address``."""
+def message_log(events: DataFrame, with_request: bool = False) -> DataFrame:
+    """All three kinds in one scan: ``seq, ts, kind, id, address``.
+
+    ``with_request`` adds the columns of the registration request.
+    """
     kinds = F.create_map(*[F.lit(part) for pair in _KIND_OF_EVENT.items() for part in pair])
     return events.filter(F.col("event_type").isin(list(_KIND_OF_EVENT))).select(
         F.col("event_id").alias("seq"),
@@ -85,4 +98,5 @@ def message_log(events: DataFrame) -> DataFrame:
         kinds[F.col("event_type")].alias("kind"),
         _id().alias("id"),
         _address().alias("address"),
+        *(_request() if with_request else []),
     )
