@@ -82,6 +82,8 @@ def _verbose_part(ms: Column, unit: str) -> Column:
 def duration_text_verbose(ms: Column) -> Column:
     """The two or three largest units of a bigint duration in ms.
 
+    A unit counts what the next larger unit leaves of the entire length, so days are
+    those beyond whole weeks even where years are shown: 365 days are one year, one day.
     Units that are zero leave an empty part, and parts are joined by one space
     whether empty or not, so ``5 seconds `` and ``1 hour  5 seconds`` are intended.
     """

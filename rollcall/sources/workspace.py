@@ -16,9 +16,7 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     local folders.
     """
     leaf = f"{purpose}-{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{leaf}"
     if spark.sparkContext.master.startswith("local"):
