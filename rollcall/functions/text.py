@@ -1,8 +1,10 @@
-"""Readable text for durations, magnitudes and memory, as native columns."""
+"""Readable text for durations, magnitudes and memory, as native columns.
 
-from __future__ import annotations
+Every function takes column names and builds one SQL expression: a whole report is
+then a handful of calls into the JVM rather than hundreds.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,42 +46,41 @@ _VERBOSE_STEPS = (
 )
 
 
-def _first_below(value: Column, steps: list[tuple[int | None, Column]]) -> Column:
-    """The column of the first step whose limit exceeds ``value``; last step is open."""
-    *limited, (_, last) = steps
-    return reduce(
-        lambda otherwise, step: F.when(value < step[0], step[1]).otherwise(otherwise),
-        reversed(limited),
-        last,
-    )
+def _name(column: str) -> str:
+    return f"`{column}`"
+
 
+def _case(value: str, steps: list[tuple[str | None, str]]) -> Column:
+    """The text of the first condition that holds; null for a null value."""
+    branches = [f"WHEN {value} IS NULL THEN NULL"]
+    branches += [f"WHEN {condition} THEN {text}" for condition, text in steps if condition]
+    return F.expr(f"CASE {' '.join(branches)} ELSE {steps[-1][1]} END")
 
-def duration_text(ms: Column) -> Column:
+
+def duration_text(column: str) -> Column:
     """Short text of a bigint duration in ms; limits apply to the unrounded value."""
-    seconds = ms.cast("double") / 1000
-    in_unit = {"ms": ms, "s": seconds, "min": seconds / 60, "h": seconds / 60 / 60}
-    text = _first_below(
+    ms = _name(column)
+    seconds = f"(cast({ms} AS double) / 1000)"
+    in_unit = {"ms": ms, "s": seconds, "min": f"{seconds} / 60", "h": f"{seconds} / 60 / 60"}
+    return _case(
         ms,
-        [(limit, F.format_string(form, in_unit[unit])) for limit, unit, form in _DURATION_STEPS],
+        [
+            (limit and f"{ms} < {limit}", f"format_string('{form}', {in_unit[unit]})")
+            for limit, unit, form in _DURATION_STEPS
+        ],
     )
-    return F.when(ms.isNotNull(), text)
 
 
-def _verbose_part(ms: Column, unit: str) -> Column:
+def _verbose_part(ms: str, unit: str) -> str:
     if unit == "ms":
-        whole_seconds = (ms >= _SECOND) & (ms % _SECOND == 0)
-        return F.when(whole_seconds, "").otherwise(F.concat(ms % _SECOND, F.lit(" ms")))
+        shown = f"concat({ms} % {_SECOND}, ' ms')"
+        return f"if({ms} >= {_SECOND} AND {ms} % {_SECOND} = 0, '', {shown})"
     size, next_size = _UNITS[unit]
-    within = ms if next_size is None else ms % next_size
-    count = F.call_function("div", within, F.lit(size))
-    return (
-        F.when(count == 0, "")
-        .when(count == 1, F.concat(count, F.lit(f" {unit}")))
-        .otherwise(F.concat(count, F.lit(f" {unit}s")))
-    )
+    count = f"({ms if next_size is None else f'{ms} % {next_size}'}) div {size}"
+    return f"CASE {count} WHEN 0 THEN '' WHEN 1 THEN '1 {unit}' ELSE concat({count}, ' {unit}s') END"
 
 
-def duration_text_verbose(ms: Column) -> Column:
+def duration_text_verbose(column: str) -> Column:
     """The two or three largest units of a bigint duration in ms.
 
     A unit counts what the next larger unit leaves of the entire length, so days are
@@ -87,63 +88,66 @@ def duration_text_verbose(ms: Column) -> Column:
     Units that are zero leave an empty part, and parts are joined by one space
     whether empty or not, so ``5 seconds `` and ``1 hour  5 seconds`` are intended.
     """
-    text = _first_below(
+    ms = _name(column)
+    return _case(
         ms,
         [
-            (limit, F.concat_ws(" ", *[_verbose_part(ms, unit) for unit in units]))
+            (
+                limit and f"{ms} < {limit}",
+                f"concat_ws(' ', {', '.join(_verbose_part(ms, unit) for unit in units)})",
+            )
             for limit, units in _VERBOSE_STEPS
         ],
     )
-    return F.when(ms.isNotNull(), text)
 
 
-def magnitude_text(value: Column) -> Column:
-    """Number with K / M / B / T from two units on, else its integer part."""
-    number = value.cast("double")
-    # Below the first unit the whole part is shown as a 32-bit number; a value that
-    # is no number shows as 0.
-    whole = F.when(F.isnan(number), 0).otherwise(
-        F.greatest(number, F.lit(float(-(2**31)))).cast("int")
-    )
-    text = reduce(
-        lambda otherwise, step: F.when(
-            number >= 2 * step[0], F.format_string(f"%.1f {step[1]}", number / step[0])
-        ).otherwise(otherwise),
-        reversed(_MAGNITUDES),
-        whole.cast("string"),
+def magnitude_text(column: str) -> Column:
+    """Number with K / M / B / T from two units on, else its integer part.
+
+    Below the first unit the integer part is a 32-bit number; NaN shows as 0.
+    """
+    number = f"cast({_name(column)} AS double)"
+    whole = f"cast(cast(greatest({number}, {-(2**31)}D) AS int) AS string)"
+    return _case(
+        number,
+        [
+            (f"isnan({number})", "'0'"),
+            *[
+                (f"{number} >= {2 * size:.0f}D", f"format_string('%.1f {unit}', {number} / {size:.0f}D)")
+                for size, unit in _MAGNITUDES
+            ],
+            (None, whole),
+        ],
     )
-    return F.when(number.isNotNull(), F.when(F.isnan(number), F.lit("0")).otherwise(text))
 
 
-def memory_text(megabytes: Column) -> Column:
+def memory_text(column: str) -> Column:
     """Memory in MB as text in the largest unit of which there are at least two."""
-    size = megabytes.cast("bigint") * (1 << 20)
-    *larger, (_, smallest) = _BYTE_UNITS
-    text = reduce(
-        lambda otherwise, step: F.when(
-            size >= 2 * step[0],
-            F.format_string(f"%.1f {step[1]}", size.cast("double") / step[0]),
-        ).otherwise(otherwise),
-        reversed(larger),
-        F.format_string(f"%.1f {smallest}", size.cast("double")),
+    size = f"(cast({_name(column)} AS bigint) * {1 << 20})"
+    return _case(
+        size,
+        [
+            (
+                unit != "B" and f"{size} >= {2 * unit_size}",
+                f"format_string('%.1f {unit}', cast({size} AS double) / {unit_size})",
+            )
+            for unit_size, unit in _BYTE_UNITS
+        ],
     )
-    return F.when(megabytes.isNotNull(), text)
 
 
-def stamp_text(instant: Column) -> Column:
+def stamp_text(column: str) -> Column:
     """Instant as ``yyyy/MM/dd HH:mm:ss`` in the session time zone."""
-    return F.date_format(instant, STAMP_PATTERN)
+    return F.date_format(column, STAMP_PATTERN)
 
 
-def progress_label(completed: Column, total: Column, failed: Column, skipped: Column) -> Column:
+def progress_label(completed: str, total: str, failed: str, skipped: str) -> Column:
     """``c/t (f failed) (s skipped)``; a bracket appears only for a count above 0."""
 
-    def bracket(count: Column, word: str) -> Column:
-        return F.when(count > 0, F.format_string(f"(%d {word})", count))
+    def bracket(count: str, word: str) -> str:
+        return f"if({_name(count)} > 0, format_string('(%d {word})', {_name(count)}), NULL)"
 
-    return F.concat_ws(
-        " ",
-        F.format_string("%d/%d", completed, total),
-        bracket(failed, "failed"),
-        bracket(skipped, "skipped"),
+    counts = f"format_string('%d/%d', {_name(completed)}, {_name(total)})"
+    return F.expr(
+        f"concat_ws(' ', {counts}, {bracket(failed, 'failed')}, {bracket(skipped, 'skipped')})"
     )

@@ -179,9 +179,9 @@ def _listing(registry: DataFrame) -> DataFrame:
         "memory_used",
         "memory_free",
         F.concat(
-            memory_text(F.col("memory")),
+            memory_text("memory"),
             F.lit(" ("),
-            memory_text(F.col("memory_used")),
+            memory_text("memory_used"),
             F.lit(" Used)"),
         ).alias("memory_text"),
     )

@@ -131,9 +131,9 @@ def gap_statistics(df: DataFrame, key: str, ts: str) -> DataFrame:
     return both.select(key, "gaps", "min_ms", median.alias("median_ms"), "max_ms")
 
 
-def _with_text(stats: DataFrame, text: Callable[[Column], Column]) -> DataFrame:
+def _with_text(stats: DataFrame, text: Callable[[str], Column]) -> DataFrame:
     return stats.withColumns(
-        {f"{name}_text": text(F.col(f"{name}_ms")) for name in ("min", "median", "max")}
+        {f"{name}_text": text(f"{name}_ms") for name in ("min", "median", "max")}
     )
 
 
@@ -152,8 +152,8 @@ def magnitude_report(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(measure), 2).alias("total"))
-        .withColumn("rows_text", magnitude_text(F.col("rows")))
-        .withColumn("total_text", magnitude_text(F.col("total")))
+        .withColumn("rows_text", magnitude_text("rows"))
+        .withColumn("total_text", magnitude_text("total"))
     )
 
 
@@ -164,8 +164,8 @@ def stamp_report(df: DataFrame, key: str, ts: str) -> DataFrame:
         .agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
         .select(
             key,
-            stamp_text(F.col("first")).alias("first_text"),
-            stamp_text(F.col("last")).alias("last_text"),
+            stamp_text("first").alias("first_text"),
+            stamp_text("last").alias("last_text"),
         )
     )
 
@@ -194,8 +194,5 @@ def progress_report(
         )
         .withColumn("completed_percent", width(COMPLETED))
         .withColumn("started_percent", width(STARTED))
-        .withColumn(
-            "label",
-            progress_label(F.col(COMPLETED), F.col("total"), F.col(FAILED), F.col(SKIPPED)),
-        )
+        .withColumn("label", progress_label(COMPLETED, "total", FAILED, SKIPPED))
     )

@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DAY = timedelta(hours=24)
 HOUR = timedelta(hours=1)
-MASTER_URL = "memo://host-0:7077"
+MASTER_URL = "fleet://host-0:7077"
 MASTER_WEB_UI_URL = "http://host-0:8080"
 TOP = 20
 ORDER_STAGES = {"F": reports.COMPLETED, "O": reports.STARTED, "P": reports.SKIPPED}

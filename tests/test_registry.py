@@ -142,10 +142,10 @@ def test_memory_order_is_numeric(fleet):
 
 def test_container_state_of_given_ids(spark, fleet):
     ids = spark.createDataFrame([("c-a",), ("c-a",), ("none",)], "id string")
-    rows = registry.container_state(fleet, ids, "memo://m:1", "http://m:2").collect()
+    rows = registry.container_state(fleet, ids, "fleet://m:1", "http://m:2").collect()
     assert [row.asDict() for row in rows] == [
         {
-            "host": "h1", "port": 7078, "container_id": "c-a", "master_url": "memo://m:1",
+            "host": "h1", "port": 7078, "container_id": "c-a", "master_url": "fleet://m:1",
             "memory": 512, "memory_used": 10, "master_web_ui_url": "http://m:2",
         }
     ]
@@ -161,10 +161,10 @@ def test_container_document(fleet):
 
 @pytest.mark.parametrize("condition", ["true", "id = 'c-d'", "false"])
 def test_fleet_lines_are_one_document(fleet, condition, tmp_path):
-    lines = export.fleet_json(fleet.filter(condition), 'memo://"m":1')
+    lines = export.fleet_json(fleet.filter(condition), 'fleet://"m":1')
     document = json.loads("\n".join(row.line for row in lines.collect()))
     assert list(document) == ["url", "workers", "memory", "memoryused", "status"]
-    assert document["url"] == 'memo://"m":1'
+    assert document["url"] == 'fleet://"m":1'
     ids = sorted(row.id for row in fleet.filter(condition).collect())
     assert [worker["id"] for worker in document["workers"]] == ids
     living = [worker for worker in document["workers"] if worker["state"] == "ALIVE"]

@@ -3,14 +3,13 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from rollcall.functions import text
 
 
 def shown(spark, function, values, kind):
     rows = spark.createDataFrame([(value,) for value in values], f"v {kind}")
-    return [row[0] for row in rows.select(function(F.col("v"))).collect()]
+    return [row[0] for row in rows.select(function("v")).collect()]
 
 
 def test_duration_limits(spark):
@@ -111,5 +110,5 @@ def test_stamp(spark):
     ],
 )
 def test_progress_label(spark, failed, skipped, label):
-    columns = [F.lit(number).cast("bigint") for number in (3, 9, failed, skipped)]
-    assert spark.range(1).select(text.progress_label(*columns)).first()[0] == label
+    frame = spark.createDataFrame([(3, 9, failed, skipped)], "c int, t int, f int, s int")
+    assert frame.select(text.progress_label("c", "t", "f", "s")).first()[0] == label
