@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.clock import epoch_micros
 from rollcall.operators.registry import ALIVE, fleet_snapshot
 
 
-def _document() -> Column:
+def _document(registry: DataFrame) -> Column:
     """One container as JSON; key names and order are fixed by the format."""
+    heartbeat_ms = F.call_function("div", epoch_micros(registry, "last_heartbeat"), F.lit(1000))
     return F.to_json(
         F.struct(
             "id",
@@ -20,14 +22,14 @@ def _document() -> Column:
             F.col("memory_used").alias("memoryused"),
             F.col("memory_free").alias("memoryfree"),
             "state",
-            F.unix_millis(F.col("last_heartbeat").cast("timestamp")).alias("lastheartbeat"),
+            heartbeat_ms.alias("lastheartbeat"),
         )
     )
 
 
 def container_json(registry: DataFrame) -> DataFrame:
     """One JSON document per container: ``id, json``."""
-    return registry.select("id", _document().alias("json"))
+    return registry.select("id", _document(registry).alias("json"))
 
 
 def fleet_json(registry: DataFrame, url: str, status: str = ALIVE) -> DataFrame:

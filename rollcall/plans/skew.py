@@ -4,7 +4,8 @@ A window or fold over one key runs in one task. That is right for ordinary keys
 and ruinous for a very large one, so ordered operators treat the two apart:
 
 * ordinary keys use a plain window on the key (one shuffle);
-* *hot* keys are cut along the ordering into cells of equal width. Each
+* *hot* keys are cut along the ordering into cells of equal width, more of them the
+  more rows the key has. Each
   ``(key, cell)`` is worked on separately, and what a cell needs from the cells
   before it (a previous value, a running count, a state) is computed from one
   summary row per cell and put in front of the cell as a *carry row*.
@@ -16,8 +17,8 @@ keys with at least ``spark.rollcall.hotKeyRows`` rows. A key that is not on it h
 fewer rows than that, or at most 1/``HOT_KEYS`` of all rows. Where no key is hot,
 AQE sees the empty list and drops the hot route before it scans anything.
 
-What stays in one task is the rows of one hot key in one cell, 1/``CELLS`` of the
-time the key spans; rows of one key at one instant cannot be told apart by time.
+What stays in one task is the rows of one hot key in one cell, down to 1/``CELLS`` of
+the time the key spans; rows of one key at one instant cannot be told apart by time.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HOT_KEYS = 1_000
+# A key gets a cell for every 1/CELLS_PER_HOT_KEY of the rows that make it hot, so that
+# cells are well filled, but no more than CELLS.
+CELLS_PER_HOT_KEY = 64
 CELLS = 65_536
 HOT_KEY_ROWS = "spark.rollcall.hotKeyRows"
-DEFAULT_HOT_KEY_ROWS = 1_000_000
+DEFAULT_HOT_KEY_ROWS = 10_000_000
 
 CELL = "_cell"
 IS_CARRY = "_is_carry"
@@ -50,7 +54,10 @@ def hot_keys(df: DataFrame, key: str, position: Column) -> DataFrame:
     span is one array ``[start, cell width]`` so that every user of the list needs
     the same columns and Spark computes and broadcasts it once.
     """
-    width = F.call_function("div", F.col("_hi") - F.col("_lo"), F.lit(CELLS)) + 1
+    hot_rows = hot_key_rows(df.sparkSession)
+    per_cell = max(hot_rows // CELLS_PER_HOT_KEY, 1)
+    cells = F.least(F.call_function("div", F.col("_rows"), F.lit(per_cell)), F.lit(CELLS))
+    width = F.call_function("div", F.col("_hi") - F.col("_lo"), cells) + 1
     return (
         df.select(F.col(key).alias(_KEY), position.alias("_position"))
         .groupBy(_KEY)
@@ -59,7 +66,7 @@ def hot_keys(df: DataFrame, key: str, position: Column) -> DataFrame:
             F.min("_position").alias("_lo"),
             F.max("_position").alias("_hi"),
         )
-        .filter(F.col("_rows") >= hot_key_rows(df.sparkSession))
+        .filter(F.col("_rows") >= hot_rows)
         .orderBy(F.desc("_rows"), _KEY)
         .limit(HOT_KEYS)
         .select(_KEY, F.array("_lo", width).alias(_SPAN))
