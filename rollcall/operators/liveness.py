@@ -110,7 +110,7 @@ def heartbeat_gaps(reg: DataFrame, hb: DataFrame, timeout: timedelta = TIMEOUT)
 
 def _numbered_spans(rows: DataFrame, keys: list[str], timeout: timedelta) -> DataFrame:
     """Add ``span``: a number that goes up after each silence longer than ``timeout``."""
-    in_order = Window.partitionBy(*keys).orderBy(*_ORDER)
+    in_order = Window.partitionBy(*keys).orderBy("ts")
     running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_before", F.lag("ts").over(in_order))
     silence = epoch_micros(rows, "ts") - epoch_micros(rows, "_before")
@@ -118,23 +118,26 @@ def _numbered_spans(rows: DataFrame, keys: list[str], timeout: timedelta) -> Dat
     return rows.withColumn("span", F.sum(breaks).over(running))
 
 
-def _span_totals() -> list[Column]:
+def _span_totals(events: Column) -> list[Column]:
     return [
         F.min("ts").alias("started_at"),
         F.max("ts").alias("last_active"),
-        F.count(F.lit(1)).alias("events"),
+        events.alias("events"),
     ]
 
 
 def _hot_spans(heavy: DataFrame, timeout: timedelta) -> DataFrame:
     """Spans of hot ids: per cell first, then across cell borders.
 
-    Only the first and last span of a cell can go on in a neighbour, so what is
+    Rows of one instant are counted before anything is ordered. Only the first and last span of a cell can go on in a neighbour, so what is
     merged in one place per id is at most two rows per cell.
     """
     keys = ["id", CELL]
+    instants = heavy.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("_rows"))
     pieces = (
-        _numbered_spans(heavy, keys, timeout).groupBy(*keys, "span").agg(*_span_totals())
+        _numbered_spans(instants, keys, timeout)
+        .groupBy(*keys, "span")
+        .agg(*_span_totals(F.sum("_rows")))
     )
     whole_cell = Window.partitionBy(*keys)
     pieces = pieces.withColumn("_last", F.max("span").over(whole_cell)).withColumn(
@@ -170,7 +173,7 @@ def alive_spans(reg: DataFrame, hb: DataFrame, timeout: timedelta = TIMEOUT) ->
     spans = (
         _numbered_spans(ordinary, ["id"], timeout)
         .groupBy("id", "span")
-        .agg(*_span_totals())
+        .agg(*_span_totals(F.count(F.lit(1))))
         .select(*columns)
         .unionByName(_hot_spans(heavy, timeout).select(*columns))
     )

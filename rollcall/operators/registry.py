@@ -70,7 +70,7 @@ def _accepted(reg: DataFrame) -> DataFrame:
     rest = [name for name in reg.columns if name not in ("address", "ts", "seq")]
     return (
         reg.groupBy("address")
-        .agg(F.min(F.struct("ts", "seq", *rest)).alias("first"))
+        .agg(F.min_by(F.struct("ts", "seq", *rest), F.struct("ts", "seq")).alias("first"))
         .select("address", "first.*")
     )
 
@@ -204,8 +204,12 @@ def listing_by_memory(registry: DataFrame, n: int | None = None) -> DataFrame:
 def container_state(
     registry: DataFrame, ids: DataFrame, master_url: str = "", master_web_ui_url: str = ""
 ) -> DataFrame:
-    """The container's own view of its state, for the ids in ``ids.id``."""
-    return registry.join(ids.select("id"), "id", "left_semi").select(
+    """The container's own view of its state, for the ids in ``ids.id``.
+
+    Repeated ids are combined before the shuffle: AQE cannot split that side of a
+    semi-join.
+    """
+    return registry.join(ids.select("id").distinct(), "id", "left_semi").select(
         "host",
         "port",
         F.col("id").alias("container_id"),

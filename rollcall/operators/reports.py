@@ -16,7 +16,7 @@ from rollcall.functions.text import (
     progress_label,
     stamp_text,
 )
-from rollcall.plans.skew import CELLS, previous_value, split_hot
+from rollcall.plans.skew import CELL, CELLS, previous_value, split_hot
 
 COMPLETED, STARTED, FAILED, SKIPPED = "completed", "started", "failed", "skipped"
 
@@ -54,27 +54,43 @@ def _ordinary_gaps(rows: DataFrame, key: str) -> DataFrame:
 def _hot_gaps(rows: DataFrame, key: str) -> DataFrame:
     """The same for hot keys, without ever ordering one key's gaps in one task.
 
-    Gaps are counted by value, values are counted by range, the ranges holding the
-    two middle ranks are found from the counts, and only those are ordered. There is
-    one total and at most two ranges per hot key, so both broadcasts are bounded by
-    the length of the hot list.
+    ``rows`` has one row per key and instant, ``_rows`` of them at that instant, with
+    the gap to the instant before. Gaps are counted by value, values are counted by
+    range, the ranges holding the two middle ranks are found from the counts, and only
+    those are ordered. There is one total and at most two ranges per hot key, so both
+    broadcasts are bounded by the length of the hot list.
     """
-    totals = rows.groupBy(key).agg(
-        F.count("_gap").alias("gaps"), F.min("_gap").alias("min_ms"), F.max("_gap").alias("max_ms")
+    # Each instant brings one gap to the one before, if any, and rows - 1 gaps of 0.
+    times = F.array(
+        F.struct(F.col("_gap"), F.col("_gap").isNotNull().cast("bigint").alias("_times")),
+        F.struct(F.lit(0).cast("bigint").alias("_gap"), (F.col("_rows") - 1).alias("_times")),
+    )
+    counted = rows.select(key, F.inline(times))
+    real_gap = F.when(F.col("_times") > 0, F.col("_gap"))
+    totals = counted.groupBy(key).agg(
+        F.sum("_times").alias("gaps"),
+        F.min(real_gap).alias("min_ms"),
+        F.max(real_gap).alias("max_ms"),
     )
     total_of = totals.select(F.col(key).alias("_total_key"), "gaps", "min_ms", "max_ms")
     width = _div(F.col("max_ms") - F.col("min_ms"), CELLS) + 1
     values = (
-        rows.filter(F.col("_gap").isNotNull())
+        counted.filter(F.col("_times") > 0)
         .groupBy(key, "_gap")
-        .agg(F.count(F.lit(1)).alias("_times"))
+        .agg(F.sum("_times").alias("_times"))
         .join(F.broadcast(total_of), F.col(key).eqNullSafe(F.col("_total_key")))
         .select(
-            key, "_gap", "_times", "gaps", _div(F.col("_gap") - F.col("min_ms"), width).alias("_range")
+            key,
+            "_gap",
+            "_times",
+            "gaps",
+            _div(F.col("_gap") - F.col("min_ms"), width).alias("_range"),
         )
     )
     low, high = _middle_ranks(F.col("gaps"))
-    holds = lambda rank: (F.col("_upto") - F.col("_times") < rank) & (rank <= F.col("_upto"))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_upto") - F.col("_times") < rank) & (rank <= F.col("_upto"))
 
     running = Window.partitionBy(key).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -118,9 +134,9 @@ def gap_statistics(df: DataFrame, key: str, ts: str) -> DataFrame:
     and nulls.
     """
     rows = df.select(key, ts)
-    ordinary, heavy = previous_value(
-        *split_hot(rows, key, epoch_micros(rows, ts)), key, [ts], ts, "_previous"
-    )
+    ordinary, heavy = split_hot(rows, key, epoch_micros(rows, ts))
+    instants = heavy.groupBy(key, CELL, ts).agg(F.count(F.lit(1)).alias("_rows"))
+    ordinary, heavy = previous_value(ordinary, instants, key, [ts], ts, "_previous")
     columns = [key, "gaps", "min_ms", "max_ms", "_low", "_high"]
     both = (
         _ordinary_gaps(_with_gap(ordinary, ts), key)
