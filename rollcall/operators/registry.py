@@ -1,6 +1,7 @@
 """Registration outcomes, the accepted registry and its listings.
 
-Inputs are logs ordered by ``(ts, seq)``, the order of arrival; ``seq`` is unique.
+Inputs are logs ordered by ``(ts, seq)``, the order of arrival; ``seq`` is unique, and
+``id``, ``address``, ``ts`` and ``seq`` are never null.
 
 Precondition of every operator here: an id belongs to one address (ids are built
 from host and port). :func:`ids_with_many_addresses` lists the ids that break it.
