@@ -1,6 +1,6 @@
 """Tables pinned in columnar memory.
 
-Spark's own cache is the columnar store: scans of it read only the needed columns
+How tables are pinned and looked at is this library's own choice. Spark's own cache is the columnar store: scans of it read only the needed columns
 and skip batches by their statistics, and blocks lost with an executor are built
 again from their lineage.
 """

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.clock import epoch_micros
+from rollcall.functions.ownership import (
+    DUPLICATE_ADDRESS,
+    DUPLICATE_ID,
+    IGNORED,
+    REGISTERED,
+    UPDATED,
+)
 from rollcall.functions.text import memory_text
-from rollcall.plans.skew import running_number, split_hot
+from rollcall.plans.skew import largest_keys, running_number, split_hot
 
-REGISTERED = "REGISTERED"
-DUPLICATE_ID = "DUPLICATE_ID"
-DUPLICATE_ADDRESS = "DUPLICATE_ADDRESS"
-UPDATED = "UPDATED"
-IGNORED = "IGNORED"
 ALIVE = "ALIVE"
 
 # Replies to a refused registration.
@@ -43,14 +45,29 @@ def registration_outcomes(reg: DataFrame) -> DataFrame:
     """Label each registration REGISTERED, DUPLICATE_ID or DUPLICATE_ADDRESS.
 
     With no losses the first registration at an address owns it for good, so the
-    owner is one aggregation (combined before its shuffle) and labelling is an
-    equi-join whose owner side has one row per address. No task ever sorts an
-    address, and AQE can split a hot address on the long side of the join.
+    owner is one aggregation, combined before its shuffle, and labelling is an
+    equi-join whose owner side has one row per address.
+
+    AQE does not split that join, as the owner side comes from an aggregation on its
+    key. So the registrations of hot addresses are set apart: their owners, a bounded
+    number, come from the same aggregation and are broadcast.
     """
+    # The tests on address and rows always hold; with them all uses of the aggregation
+    # have the same plan, and Spark runs it once.
     owners = (
-        reg.groupBy("address")
-        .agg(F.min(F.struct("ts", "seq", "id")).alias("owner"))
-        .withColumnRenamed("address", "owner_address")
+        reg.filter(F.col("address").isNotNull())
+        .groupBy(F.col("address").alias("owner_address"))
+        .agg(F.min(F.struct("ts", "seq", "id")).alias("owner"), F.count(F.lit(1)).alias("rows"))
+    )
+    hot_owners = largest_keys(owners, "owner_address", "rows").drop("rows")
+    all_owners = owners.filter(F.col("rows") > 0).drop("rows")
+    at_address = F.col("address") == F.col("owner_address")
+
+    rows = reg.select("seq", "ts", "id", "address")
+    tagged = rows.join(F.broadcast(hot_owners), at_address, "left")
+    hot = tagged.filter(F.col("owner").isNotNull())
+    ordinary = (
+        tagged.filter(F.col("owner").isNull()).select(*rows.columns).join(all_owners, at_address)
     )
     outcome = (
         F.when(F.col("seq") == F.col("owner.seq"), REGISTERED)
@@ -58,8 +75,7 @@ def registration_outcomes(reg: DataFrame) -> DataFrame:
         .otherwise(DUPLICATE_ADDRESS)
     )
     return (
-        reg.select("seq", "ts", "id", "address")
-        .join(owners, F.col("address") == F.col("owner_address"))
+        ordinary.unionByName(hot)
         .withColumn("outcome", outcome)
         .withColumn("message", reply_message(F.col("outcome"), F.col("address")))
         .select("seq", "ts", "id", "address", "outcome", "message")
@@ -118,7 +134,8 @@ def heartbeat_outcomes(reg: DataFrame, hb: DataFrame) -> DataFrame:
     """UPDATED if the id was accepted strictly earlier in ``(ts, seq)``, else IGNORED.
 
     The accepted side has one row per address and unique ids, so the join cannot
-    multiply rows; Spark broadcasts it only if its measured size allows.
+    multiply rows; Spark broadcasts it only if its measured size allows, and else AQE
+    splits a hot id on the heartbeat side.
     """
     accepted = accepted_ids(reg).withColumnRenamed("id", "accepted_id")
     # Without the null test a missing owner would sort before every heartbeat.

@@ -47,6 +47,15 @@ def hot_key_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_KEY_ROWS, str(DEFAULT_HOT_KEY_ROWS)))
 
 
+def largest_keys(counted: DataFrame, key: str, rows: str) -> DataFrame:
+    """The hot ones of one row per ``key`` with its number of ``rows``."""
+    return (
+        counted.filter(F.col(rows) >= hot_key_rows(counted.sparkSession))
+        .orderBy(F.desc(rows), key)
+        .limit(HOT_KEYS)
+    )
+
+
 def hot_keys(df: DataFrame, key: str, position: Column) -> DataFrame:
     """At most ``HOT_KEYS`` rows: the largest keys, and how their range is cut.
 
@@ -54,11 +63,10 @@ def hot_keys(df: DataFrame, key: str, position: Column) -> DataFrame:
     span is one array ``[start, cell width]`` so that every user of the list needs
     the same columns and Spark computes and broadcasts it once.
     """
-    hot_rows = hot_key_rows(df.sparkSession)
-    per_cell = max(hot_rows // CELLS_PER_HOT_KEY, 1)
+    per_cell = max(hot_key_rows(df.sparkSession) // CELLS_PER_HOT_KEY, 1)
     cells = F.least(F.call_function("div", F.col("_rows"), F.lit(per_cell)), F.lit(CELLS))
     width = F.call_function("div", F.col("_hi") - F.col("_lo"), cells) + 1
-    return (
+    counted = (
         df.select(F.col(key).alias(_KEY), position.alias("_position"))
         .groupBy(_KEY)
         .agg(
@@ -66,11 +74,8 @@ def hot_keys(df: DataFrame, key: str, position: Column) -> DataFrame:
             F.min("_position").alias("_lo"),
             F.max("_position").alias("_hi"),
         )
-        .filter(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"), _KEY)
-        .limit(HOT_KEYS)
-        .select(_KEY, F.array("_lo", width).alias(_SPAN))
     )
+    return largest_keys(counted, _KEY, "_rows").select(_KEY, F.array("_lo", width).alias(_SPAN))
 
 
 def split_hot(

@@ -19,9 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rollcall.functions.ownership import NO_OWNER, REGISTERED, answer
+from rollcall.functions.ownership import (
+    DUPLICATE_ADDRESS,
+    DUPLICATE_ID,
+    NO_OWNER,
+    REGISTERED,
+    answer,
+)
 from rollcall.operators.liveness import TIMEOUT
-from rollcall.operators.registry import DUPLICATE_ADDRESS, DUPLICATE_ID, reply_message
+from rollcall.operators.registry import reply_message
 
 _ORDER = ["ts", "seq"]
 
