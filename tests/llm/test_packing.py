@@ -1,0 +1,83 @@
+"""Packing against the tokenizer run on whole texts, and its limits."""
+
+from __future__ import annotations
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from conftest import MEDIUM
+
+from rollcall.llm.packing import END_ID, Limits, Packer, pack_documents, tokenizer_path
+from rollcall.llm.queries import op6_packing
+from rollcall.sources import table
+
+
+def whole_ids(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    return [[*x.ids, END_ID] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_id_once_and_little_padding(spark):
+    documents = table(spark, MEDIUM, "documents")
+    rows = op6_packing(spark, MEDIUM).collect()
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    ids = dict(zip(texts, whole_ids(list(texts.values())), strict=True))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+        got = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert (len(got), zlib.crc32(got.tobytes()), len(ids[r.doc_id])) == (r.length, r.ids_crc32, r.doc_tokens)
+    assert set(pieces) == set(texts)
+    for key, parts in pieces.items():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == len(ids[key])
+    used = padded = 0
+    for parts in sequences.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048 and len(parts) <= 256
+        used, padded = used + at, padded + (at if at & (at - 1) == 0 else 2048)
+    assert padded <= 1.005 * used
+
+
+def test_edge_rows(spark):
+    rows = [(1, "", "x"), (2, None, "x"), (None, "a b.", "x"), (3, "Word, " * 5000, "x"), (3, "Word, " * 5000, "x"), (4, "<|endoftext|>É́ it's 12.5", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, length string").coalesce(1)
+    found = pack_documents(frame, with_ids=True).collect()
+    expected = {(r[0], tuple(ids)) for r, ids in zip(rows, whole_ids([r[1] or "" for r in rows]), strict=True)}
+    assert sum(r.length for r in found) == sum(len(x) for x in whole_ids([r[1] or "" for r in rows]))
+    single = {(r.doc_id, tuple(r.ids)) for r in found if r.length == r.doc_tokens}
+    assert single <= expected and {(1, (END_ID,)), (2, (END_ID,))} <= single
+    assert pack_documents(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limits", [Limits(64, 4, 64), Limits(64, 100, 20), Limits(100, 3, 30)])
+def test_limits_hold_together(limits):
+    draw = np.random.default_rng(5)
+    packer, sizes = Packer(limits, 0, pool=50), {}
+    for key in range(300):
+        size = int(draw.integers(1, 150))
+        sizes[key] = size
+        packer.add(key, np.arange(size, dtype=np.uint32), draw.random(size) < 0.4)
+    losses = np.random.default_rng(5)
+    marks = {}
+    for key in range(300):
+        size = int(losses.integers(1, 150))
+        marks[key] = losses.random(size) < 0.4
+    packer.finish()
+    held, total = defaultdict(lambda: np.zeros(3, int)), defaultdict(int)
+    for key, start, ids, _, sequence, _ in packer.out:
+        held[sequence] += (len(ids), 1, marks[key][start : start + len(ids)].sum())
+        total[key] += len(ids)
+    assert total == sizes
+    assert all((x <= (limits.tokens, limits.segments, limits.loss_tokens)).all() for x in held.values())
