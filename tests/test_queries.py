@@ -8,6 +8,8 @@ import pytest
 from comparing import connect, differences
 from conftest import MEDIUM, SMALL
 
+from rollcall.plans import catalog, oracle
+
 contract = importlib.import_module("__spark_entry__")
 
 
@@ -19,7 +21,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
 def test_flagship(spark):
@@ -27,7 +29,7 @@ def test_flagship(spark):
     assert (row.alive, row.memory, row.memory_used) == (8, 10240, 702)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_equals_oracle(spark, duck, name):
     found = contract.queries()[name](spark, SMALL).toPandas()
     expected = duck.sql(contract.oracle_sql()[name]).df()
