@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm import quality_rules
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources import new_folder, table
 
 
+def worthy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without their host's frequent lines."""
+    return quality_rules.filtered(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, with their ids."""
     return pack_documents(docs, Limits(tokens=2048, segments=256, loss_tokens=2048), with_ids=True)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality rules", worthy),
+    ("packing", packed),
+]
 
 #: Retrieval in a latent space and tokenising have no SQL form; tests compare with brute force.
 ORACLE_SQL = None

@@ -2,6 +2,76 @@
 
 from __future__ import annotations
 
+SPACE = r"\x20\x09-\x0D"
+
+#: Rows, words and windows of all documents; rid tells repeated rows apart.
+QUALITY_RULES = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^{SPACE}]+') AS ws FROM d
+), u AS (
+  SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w
+), win AS (
+  SELECT rid, pos,
+    word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' '
+      || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS run
+  FROM u WINDOW p AS (PARTITION BY rid ORDER BY pos)
+), twice AS (
+  SELECT rid, run FROM win WHERE run IS NOT NULL GROUP BY rid, run HAVING count(*) > 1
+), covered AS (
+  SELECT rid, count(*) AS n FROM (
+    SELECT DISTINCT rid, pos + k AS pos
+    FROM win JOIN twice USING (rid, run), (SELECT unnest([0, 1, 2, 3, 4]) AS k) ks
+  ) x GROUP BY rid
+), body AS (
+  SELECT rid, arg_min(run, (-length(run), pos)) AS b FROM win WHERE run IS NOT NULL GROUP BY rid
+), counts AS (
+  SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM u GROUP BY rid
+), lines AS (
+  SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d
+), spoken AS (
+  SELECT rid, line, len(regexp_extract_all(line, '[^{SPACE}]+')) AS n,
+    trim(regexp_replace(regexp_replace(
+      translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9]+', '0', 'g'), '[{SPACE}]+', ' ', 'g')) AS norm
+  FROM lines WHERE regexp_matches(line, '[^{SPACE}]')
+), dup AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n FROM spoken GROUP BY rid
+), identity AS (
+  SELECT d.rid, d.source, coalesce(b, array_to_string(ws, ' ')) AS b
+  FROM d JOIN w USING (rid) LEFT JOIN body USING (rid)
+), hosts AS (
+  SELECT source, count(DISTINCT b) AS of_host FROM identity GROUP BY source
+), frequent AS (
+  SELECT x.source, x.norm FROM (
+    SELECT source, norm, count(DISTINCT b) AS n
+    FROM spoken JOIN identity USING (rid) GROUP BY source, norm
+  ) x JOIN hosts h ON x.source IS NOT DISTINCT FROM h.source
+  WHERE x.n >= 5 AND x.n >= 0.01 * h.of_host
+), cut AS (
+  SELECT s.rid, sum(s.n) AS n FROM spoken s JOIN d USING (rid)
+  JOIN frequent f ON f.norm = s.norm AND f.source IS NOT DISTINCT FROM d.source GROUP BY s.rid
+), measured AS (
+  SELECT d.rid, d.doc_id, d.t,
+    coalesce(counts.n_words, 0)::BIGINT AS n_words, coalesce(counts.word_chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(d.t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(counts.n_words, 0) - coalesce(cut.n, 0) AS left_words
+  FROM d LEFT JOIN counts USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN cut USING (rid)
+), verdict AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
+)
+"""
+
+OP2 = QUALITY_RULES + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND left_words >= 5 AND left_words >= 0.3 * n_words AS kept
+FROM verdict
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_rules": OP2,
+    }

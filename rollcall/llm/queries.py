@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm import quality_rules
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    found = quality_rules.assessed(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, folder, "documents"), Limits(tokens=2048, segments=256, loss_tokens=2048))
@@ -18,5 +25,6 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator."""
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op6_packing": op6_packing,
     }
