@@ -70,8 +70,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM verdict
 """
 
+def near_duplicates(length: int, percent: int) -> str:
+    """Every pair of documents that share a shingle, then the smallest id reachable."""
+    later = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER p" for k in range(1, length))])
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SPACE}]+') AS ws
+  FROM documents
+), u AS (
+  SELECT rid, doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d WHERE len(ws) >= {length}
+), s AS (
+  SELECT DISTINCT doc_id, run FROM (
+    SELECT doc_id, n, pos, {later} AS run FROM u WINDOW p AS (PARTITION BY rid ORDER BY pos)
+  ) x WHERE pos <= n - {length - 1}
+  UNION
+  SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND {length - 1}
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM s x JOIN s y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * shared.n >= {percent} * (p.n + q.n - shared.n)
+), ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+), smallest AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) JOIN smallest USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": OP2,
+        "op3_near_duplicates": near_duplicates(3, 85),
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import quality_rules
+from rollcall.llm import near_dups, quality_rules
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -17,6 +17,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of every document by shingles of three words at 0.85."""
+    return near_dups.near_duplicates(table(spark, folder, "documents"), length=3, percent=85)
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, folder, "documents"), Limits(tokens=2048, segments=256, loss_tokens=2048))
@@ -26,5 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator."""
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_near_duplicates": op3_near_duplicates,
         "op6_packing": op6_packing,
     }
