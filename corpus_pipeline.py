@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import near_dups, quality_rules
+from rollcall.llm import near_dups, pii, quality_rules
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources import new_folder, table
 
@@ -19,6 +19,11 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dups.deduplicated(docs, length=5, percent=80)
 
 
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and what discloses it generalised."""
+    return pii.sanitised(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, with their ids."""
     return pack_documents(docs, Limits(tokens=2048, segments=256, loss_tokens=2048), with_ids=True)
@@ -27,6 +32,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", worthy),
     ("near duplicates", single),
+    ("personal data", sanitised),
     ("packing", packed),
 ]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import near_dups, quality_rules
+from rollcall.llm import near_dups, pii, quality_rules
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -22,6 +22,11 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), length=3, percent=85)
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data and of disclosing terms in every document."""
+    return pii.digest(pii.found(table(spark, folder, "documents")))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, folder, "documents"), Limits(tokens=2048, segments=256, loss_tokens=2048))
@@ -32,5 +37,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_pii": op4_pii,
         "op6_packing": op6_packing,
     }
