@@ -107,9 +107,22 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id, d.doc
 FROM d LEFT JOIN sizes USING (doc_id) JOIN smallest USING (doc_id)
 """
 
+OP9 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), newest AS (
+  SELECT payload_digest, max(page_id) AS page FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page IS NULL OR page IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page IS NULL OR page IS NOT DISTINCT FROM page_id THEN NULL ELSE page END::BIGINT AS refers_to
+FROM p LEFT JOIN newest USING (payload_digest)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": OP2,
         "op3_near_duplicates": near_duplicates(3, 85),
+        "op9_warc": OP9,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import near_dups, pii, quality_rules
+from rollcall.llm import near_dups, pii, quality_rules, warc
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -32,6 +32,13 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), Limits(tokens=2048, segments=256, loss_tokens=2048))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    archives = warc.archive_folder(spark)
+    records = warc.read(warc.write(table(spark, folder, "pages"), archives), archives)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator."""
     return {
@@ -39,4 +46,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_pii": op4_pii,
         "op6_packing": op6_packing,
+        "op9_warc": op9_warc,
     }
