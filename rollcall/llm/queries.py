@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import near_dups, pii, quality_rules, warc
+from rollcall.llm import licenses, near_dups, pii, quality_rules, warc
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -27,6 +27,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.found(table(spark, folder, "documents")))
 
 
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases and contained license templates of every document."""
+    return licenses.licensed(table(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, folder, "documents"), Limits(tokens=2048, segments=256, loss_tokens=2048))
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_pii": op4_pii,
+        "op5_licenses": op5_licenses,
         "op6_packing": op6_packing,
         "op9_warc": op9_warc,
     }
