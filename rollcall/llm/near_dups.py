@@ -10,10 +10,11 @@ with fewer words than a shingle has, the sequence of all; without words, empty.
 3. Classes that share a band are a bucket. Each member is linked to the bucket's smallest
    member only, so a bucket of m members has m - 1 candidate edges. Candidates are confirmed
    on full sets.
-4. What a star can miss: two members that resemble each other and not the centre. Buckets whose
-   members are not all in one component after step 3 are searched again, in blocks of bounded
-   size: every pair of different components whose sizes and 8-bit signatures allow
-   the similarity is confirmed on full sets too.
+4. What a star can miss: two members that resemble each other and not the centre. Members connected
+   over candidate edges are a cluster, which holds all pairs of each of its buckets. Clusters whose
+   members are not all in one component after step 3 are joined exactly, in blocks of
+   bounded size: pairs of different components that share a token of their prefixes (rarest first)
+   are confirmed on full sets too.
 
 With 32 bands of 4, a pair at similarity 0.8 shares no band once in 2 * 10**7 times.
 """
@@ -33,7 +34,8 @@ from rollcall.llm.groups import whole_groups
 from rollcall.llm.tables import stored
 
 BINS, BAND = 128, 4
-BLOCK = 2048
+#: Sets and set elements in a block of a cluster.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 500_000
 _BIN_SHIFT = np.uint64(64 - 7)
 
 
@@ -67,7 +69,7 @@ def signature(unique: np.ndarray, probes: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, length: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, digest_0, digest_1, bands, signature) of each document row."""
+    """(doc_id, n_shingles, digest_0, digest_1, bands) of each document row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probes(4096)
@@ -95,13 +97,12 @@ def sketches(documents: DataFrame, length: int, key: str, text: str) -> DataFram
                         pa.array(digests[:, 0].view(np.int64)),
                         pa.array(digests[:, 1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BINS // BAND)), pa.array(bands.view(np.int64).ravel())),
-                        pa.array([x.tobytes() for x in (values & np.uint64(255)).astype(np.uint8)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest_0", "digest_1", "bands", "signature"],
+                    names=["doc_id", "n_shingles", "digest_0", "digest_1", "bands"],
                 )
 
     frame = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return frame.mapInArrow(sketch, "doc_id long, n_shingles long, digest_0 long, digest_1 long, bands array<long>, signature binary")
+    return frame.mapInArrow(sketch, "doc_id long, n_shingles long, digest_0 long, digest_1 long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
@@ -142,34 +143,66 @@ def _needed(documents: DataFrame, pairs: DataFrame, key: str, text: str) -> Data
     return stored(texts.join(stored(nodes, "pair-nodes"), "doc_id", "left_semi").distinct(), "pair-texts")
 
 
-def _plausible(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a cell whose sizes and signatures allow the similarity.
+def exact_pairs(sets: list[np.ndarray], parts: np.ndarray, blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of sets of different parts at the similarity or above.
 
-    ``members``: cell, doc_id, component, n_shingles, signature, side. The estimate's bound lies five
-    standard deviations under the similarity, for as many values as a small set really has.
+    Tokens are ordered by how many of the sets have them, rarest first. Two sets at the
+    similarity share a token of the first size - ceil(share * size) + 1 of each. With two
+    blocks, only pairs across them are looked at.
     """
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = np.array([len(x) for x in sets])
+    tokens, ranks, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.empty(len(tokens), np.int64)
+    order[np.argsort(counts, kind="stable")] = np.arange(len(tokens))
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    ranks = order[ranks]
+    place = np.lexsort((ranks, owners))
+    within = np.arange(len(ranks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - (-(-percent * sizes // 100)) + 1
+    kept = place[within < np.repeat(prefix, sizes)]
+    heads, heads_of = ranks[kept], owners[kept]
+    starts = np.searchsorted(heads_of, np.arange(len(sets) + 1))
+    by_token = np.argsort(heads, kind="stable")
+    sorted_heads, sorted_owners = heads[by_token], heads_of[by_token]
+    values, part_counts = np.unique(parts, return_counts=True)
+    largest, two = values[part_counts.argmax()], len(np.unique(blocks)) > 1
+    found = []
+    for i in np.flatnonzero(parts != largest):
+        own = heads[starts[i] : starts[i + 1]]
+        low, high = np.searchsorted(sorted_heads, own, "left"), np.searchsorted(sorted_heads, own, "right")
+        near = np.unique(np.concatenate([sorted_owners[x:y] for x, y in zip(low, high, strict=True)]))
+        near = near[(parts[near] != parts[i]) & ((parts[near] == largest) | (near > i))]
+        if two:
+            near = near[blocks[near] != blocks[i]]
+        small, big = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
+        for j in near[100 * small >= percent * big]:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                found.append((i, j))
+    return found
+
+
+def _joined_cells(cells: DataFrame, length: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, from sorted rows (cluster, low, high, doc_id, component, own, text)."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in whole_groups(batches, 3):
-            ids, parts, sizes = (rows.column(k).to_numpy() for k in (3, 4, 5))
-            signs = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
             left, right = [], []
+            parts, blocks = rows.column(4).to_numpy(), rows.column(5).to_numpy()
             for start, end in zip(bounds, np.append(bounds[1:], rows.num_rows), strict=True):
-                for i in range(start, end - 1):
-                    others = slice(i + 1, end)
-                    small, big = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-                    near = (parts[i] != parts[others]) & (100 * small >= percent * big)
-                    at = np.flatnonzero(near) + i + 1
-                    if len(at):
-                        share = percent / 100
-                        least = share - 5 * np.sqrt(share * (1 - share) * (1 / BINS + 1 / small[at - i - 1]))
-                        at = at[(signs[at] == signs[i]).mean(axis=1) >= least]
-                        left.append(np.full(len(at), ids[i]))
-                        right.append(ids[at])
+                if end - start < 2 or (parts[start:end] == parts[start]).all():
+                    continue
+                sets = []
+                for _, texts in W.slices(rows.column(6).slice(start, end - start)):
+                    hashes, at = W.shingles(W.split_words(texts, W.NON_SPACE, W.LOWER), length)
+                    sets += [np.unique(hashes[at[k] : at[k + 1]]) for k in range(len(texts))]
+                for i, j in exact_pairs(sets, parts[start:end], blocks[start:end], percent):
+                    left.append(parts[start + i])
+                    right.append(parts[start + j])
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right)], names=["a", "b"])
 
-    return members.mapInArrow(search, "a long, b long")
+    return cells.mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,49 +216,42 @@ def near_duplicates(documents: DataFrame, length: int = 5, percent: int = 80, ke
     rows = stored(sketches(documents, length, key, text), "sketches")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = stored(
-        named.groupBy("digest_0", "digest_1").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
-        ),
+        named.groupBy("digest_0", "digest_1").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes",
     )
     members = classes.select(F.explode("bands").alias("bucket"), "node")
-    centres = stored(
-        members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("centre <> last"), "centres"
-    )
-    stars = members.join(centres.select("bucket", "centre"), "bucket").where("node <> centre")
+    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
+    stars = members.join(stored(centres.select("bucket", "centre"), "centres"), "bucket").where("node <> centre")
     stars = stored(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
-    links = stored(confirmed(stars, _needed(documents, stars, key, text), length, percent), "links")
+    texts = _needed(documents, stars, key, text)
+    links = confirmed(stars, texts, length, percent)
     # One id in several classes joins them.
     several = named.groupBy("doc_id").agg(F.count_distinct("digest_0", "digest_1").alias("n")).where("n > 1").select("doc_id")
     own = named.join(several, "doc_id", "left_semi").join(classes.select("digest_0", "digest_1", "node"), ["digest_0", "digest_1"])
-    links = links.union(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    first = stored(components(links), "components")
-
-    def part(frame: DataFrame, column: str) -> DataFrame:
-        """The frame with the component of a node column."""
-        named_parts = first.select(F.col("node").alias(column), F.col("component"))
-        return frame.join(named_parts, column, "left").withColumn("component", F.coalesce("component", column))
-
-    known = stored(part(classes, "node").select("digest_0", "digest_1", "node", "component", "n_shingles", "bands", "signature"), "class-components")
-    within = known.select(F.explode("bands").alias("bucket"), "component")
-    mixed = within.join(centres.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+    first = stored(components(links.union(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))), "components")
+    clusters = components(stars).select("node", F.col("component").alias("cluster"))
+    sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    held = clusters.join(first, "node", "left").join(sizes, "node").select("cluster", "node", F.coalesce("component", "node").alias("component"), "n_shingles")
+    held = stored(held, "clusters")
+    mixed = held.groupBy("cluster").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")
     )
-    mixed = stored(mixed.where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = stored(mixed.where("low <> high").select("cluster", blocks.alias("blocks")), "mixed-clusters")
     cells = (
-        known.select(F.explode("bands").alias("bucket"), "node", "component", "n_shingles", "signature")
-        .join(mixed, "bucket")
+        held.join(mixed, "cluster")
+        .join(texts.withColumnRenamed("doc_id", "node"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "component", "n_shingles", "signature")
+        .select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "component", "own", "text")
     )
-    cells = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    rest = stored(_plausible(cells, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
-    more = stored(confirmed(rest, _needed(documents, rest, key, text), length, percent), "more-links")
-    joined = part(part(more, "a").select(F.col("component").alias("low"), "b"), "b").select(F.col("low").alias("a"), F.col("component").alias("b"))
-    second = stored(components(joined), "components").select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    final = known.join(second, "component", "left").select("digest_0", "digest_1", F.coalesce("merged", "component").alias("component_id"))
-    final = stored(final, "class-components")
+    cells = cells.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    more = components(_joined_cells(cells, length, percent).distinct()).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    parts = first.join(more, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    lone = more.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("component"))
+    parts = stored(parts.union(lone), "node-components")
+    final = classes.select("digest_0", "digest_1", "node").join(parts, "node", "left")
+    final = stored(final.select("digest_0", "digest_1", F.coalesce("component", "node").alias("component_id")), "class-components")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     found = rows.select("doc_id", "n_shingles", "digest_0", "digest_1").join(final, ["digest_0", "digest_1"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(

@@ -54,7 +54,7 @@ def test_edges(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_random_families(spark, seed, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCK", 7)  # many blocks
+    monkeypatch.setattr(near_dups, "BLOCK_SETS", 7)  # many blocks
     draw = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     rows = []
