@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollcall.llm import licenses, near_dups, pii, quality_rules, warc
+from rollcall.llm import classifier, licenses, near_dups, pii, quality_rules, warc
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -37,6 +38,12 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), Limits(tokens=2048, segments=256, loss_tokens=2048))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels of three quarters of the ids."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out)
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     archives = warc.archive_folder(spark)
@@ -52,5 +59,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_licenses": op5_licenses,
         "op6_packing": op6_packing,
+        "op8_quality": op8_quality,
         "op9_warc": op9_warc,
     }
