@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import near_dups, pii, quality_rules
+from rollcall.llm import decontamination, near_dups, pii, quality_rules
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources import new_folder, table
 
@@ -19,6 +19,11 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dups.deduplicated(docs, length=5, percent=80)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and what discloses it generalised."""
     return pii.sanitised(docs)
@@ -32,6 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", worthy),
     ("near duplicates", single),
+    ("decontamination", clean),
     ("personal data", sanitised),
     ("packing", packed),
 ]

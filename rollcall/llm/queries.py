@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import classifier, licenses, near_dups, pii, quality_rules, warc
+from rollcall.llm import classifier, decontamination, licenses, near_dups, pii, quality_rules, warc
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that leaks into it."""
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document."""
     found = quality_rules.assessed(table(spark, folder, "documents"))
@@ -54,6 +59,7 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator."""
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_pii": op4_pii,
