@@ -9,7 +9,7 @@ import pyarrow as pa
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(rows, bounds): rows of complete groups by the first ``keys`` (integer) columns, which are sorted.
+    """(rows, starts): rows of complete groups by the first ``keys`` (integer) columns, which are sorted.
 
     A group may reach over batches; what is held at once is one batch and the group at its end.
     """
@@ -32,7 +32,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
             continue
         done = table.slice(0, int(starts[-1]))
         rest = table.slice(int(starts[-1])).to_batches()
-        yield done, np.concatenate([[0], starts]).astype(np.int64)
+        yield done, np.concatenate([[0], starts[:-1]]).astype(np.int64)
     if rest:
         table = pa.Table.from_batches(rest)
-        yield table, np.array([0, table.num_rows], np.int64)
+        yield table, np.array([0], np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import classifier, decontamination, licenses, near_dups, pii, quality_rules, warc
+from rollcall.llm import classifier, decontamination, licenses, near_dups, pii, quality_rules, substring_dups, warc
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -56,6 +56,11 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_substring_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least 40 words of every document that repeat, also with edits, in an earlier one."""
+    return substring_dups.repeated_passages(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator."""
     return {
@@ -67,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
+        "op10_substring_dups": op10_substring_dups,
     }
