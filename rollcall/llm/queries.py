@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import classifier, decontamination, licenses, near_dups, pii, quality_rules, substring_dups, warc
+from rollcall.llm import classifier, decontamination, html_text, licenses, near_dups, pii, quality_rules, substring_dups, warc
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -43,6 +43,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), Limits(tokens=2048, segments=256, loss_tokens=2048))
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document, learnt from the labels of three quarters of the ids."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_licenses": op5_licenses,
         "op6_packing": op6_packing,
+        "op7_html_text": op7_html_text,
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_substring_dups": op10_substring_dups,
