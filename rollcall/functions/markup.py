@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HIDDEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+# What is opened and never closed hides the rest, so that no place is searched twice.
+_HIDDEN = r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)"
 _OPENING = r"<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)"
 _ANCHOR = r"""<(?:[\w.-]+:)?a(?:\s((?:[^>"']++|"[^"]*+"|'[^']*+')*+))?/?>"""
-_ATTRIBUTE = r"""[^\s=>"'/]+\s*=\s*(?:"[^"]*"|'[^']*')"""
+_ATTRIBUTE = r"""[^\s=>"'/]++\s*=\s*(?:"[^"]*"|'[^']*')"""
+_WHOLE = r"""<(?:[\w.-]++:)?[A-Za-z_][\w.-]*+(?::[\w.-]++)?(?:\s++[^\s=<>"'/]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'))*+\s*+/?>"""
 _HREF = r"^(?:[\w.-]+:)?href\s*="
 _QUOTED = r"""(?s)["'](.*)["']$"""
 _SITE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"
@@ -32,6 +34,12 @@ def tags(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_OPENING), F.lit(1))
 
 
+def malformed(html: Column) -> Column:
+    """Opening tags that are not whole: open quotes, values without quotes, missing ends."""
+    whole = F.regexp_extract_all(html, F.lit(_WHOLE), F.lit(0))
+    return F.size(tags(html)) - F.size(whole)
+
+
 def anchors(html: Column) -> Column:
     """Attribute text of every ``a`` tag, empty where it has none."""
     return F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1))
@@ -56,3 +64,9 @@ def resolved(base: Column, path: Column) -> Column:
     return F.concat(
         F.regexp_replace(base, "/$", ""), F.lit("/"), F.regexp_replace(path, "^/", "")
     )
+
+
+def with_base(html: Column, base: str) -> Column:
+    """The page with ``base`` put before every href of an ``a`` tag, one slash between them."""
+    before = r"""(<(?:[\w.-]+:)?a(?:\s++(?!(?:[\w.-]+:)?href\s*=)[^\s=<>"'/]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'))*+\s++(?:[\w.-]+:)?href\s*=\s*["'])/?"""
+    return F.regexp_replace(html, F.lit(before), F.concat(F.lit("$1"), F.lit(base.rstrip("/").replace("\\", "\\\\").replace("$", "\\$")), F.lit("/")))

@@ -32,6 +32,20 @@ def container_json(registry: DataFrame) -> DataFrame:
     return registry.select("id", _document(registry).alias("json"))
 
 
+def container_state_json(state: DataFrame) -> DataFrame:
+    """The JSON document of each container's own state: ``id, json``."""
+    document = F.to_json(
+        F.struct(
+            F.col("container_id").alias("id"),
+            F.col("master_url").alias("masterurl"),
+            F.col("master_web_ui_url").alias("masterwebuiurl"),
+            "memory",
+            F.col("memory_used").alias("memoryused"),
+        )
+    )
+    return state.select(F.col("container_id").alias("id"), document.alias("json"))
+
+
 def fleet_json(registry: DataFrame, url: str, status: str = ALIVE) -> DataFrame:
     """The fleet document as ordered lines: ``part, id, line``.
 

@@ -18,20 +18,26 @@ from rollcall.functions import markup
 ALLOWED_TAGS = ("a", "span")
 
 ESCAPE_TAG = "ESCAPE_TAG"
+ESCAPE_MALFORMED = "ESCAPE_MALFORMED"
 ESCAPE_LINK = "ESCAPE_LINK"
 ALLOW = "ALLOW"
 
 
-def markup_audit(pages: DataFrame, allowed: tuple[str, ...] = ALLOWED_TAGS) -> DataFrame:
-    """Per page: offending tags, anchors, links not from the root, and the verdict.
+def markup_audit(
+    pages: DataFrame, allowed: tuple[str, ...] = ALLOWED_TAGS, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per page: offending tags, anchors, links not from the root, and the verdict; ``keep`` adds columns.
 
-    Tags are judged before links.
+    Tags are judged first, then whether all opening tags are whole (a page whose markup can't be read
+    is never allowed), then links.
     """
-    seen = pages.select("page_id", "url", markup.visible(F.col("html")).alias("html")).select(
+    seen = pages.select("page_id", "url", *keep, markup.visible(F.col("html")).alias("_seen")).select(
         "page_id",
         "url",
-        markup.tags(F.col("html")).alias("tags"),
-        markup.anchors(F.col("html")).alias("anchor_texts"),
+        *keep,
+        markup.malformed(F.col("_seen")).alias("malformed"),
+        markup.tags(F.col("_seen")).alias("tags"),
+        markup.anchors(F.col("_seen")).alias("anchor_texts"),
     )
     permitted = F.array(*[F.lit(tag) for tag in allowed])
     outside = F.filter(markup.hrefs(F.col("anchor_texts")), lambda href: ~href.startswith("/"))
@@ -39,19 +45,38 @@ def markup_audit(pages: DataFrame, allowed: tuple[str, ...] = ALLOWED_TAGS) -> D
         seen.select(
             "page_id",
             "url",
+            *keep,
             F.sort_array(F.array_except("tags", permitted)).alias("offending_tags"),
             F.size("anchor_texts").alias("anchors"),
             F.size(outside).alias("outside_links"),
+            "malformed",
         )
         .withColumn(
             "verdict",
             F.when(F.size("offending_tags") > 0, ESCAPE_TAG)
+            .when(F.col("malformed") > 0, ESCAPE_MALFORMED)
             .when(F.col("outside_links") > 0, ESCAPE_LINK)
             .otherwise(ALLOW),
         )
+        .drop("malformed")
     )
 
 
+def shown_markup(pages: DataFrame, base: str, allowed: tuple[str, ...] = ALLOWED_TAGS) -> DataFrame:
+    """Per page the verdict and the text to show: ``page_id, verdict, shown``.
+
+    An allowed page has ``base`` put before its links; any other is escaped whole. A null page
+    is shown as a null.
+    """
+    html = F.col("html")
+    escaped = html
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(entity))
+    linked = markup.with_base(html, base)
+    judged = markup_audit(pages.select("page_id", F.lit(None).cast("string").alias("url"), "html"), allowed, keep=("html",))
+    return judged.select("page_id", "verdict", F.when(F.col("verdict") == ALLOW, linked).otherwise(escaped).alias("shown"))
+
+
 def markup_summary(pages: DataFrame, allowed: tuple[str, ...] = ALLOWED_TAGS) -> DataFrame:
     """Pages per host and verdict; a URL without a host counts under null."""
     return (

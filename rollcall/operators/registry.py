@@ -1,7 +1,8 @@
 """Registration outcomes, the accepted registry and its listings.
 
 Inputs are logs ordered by ``(ts, seq)``, the order of arrival; ``seq`` is unique, and
-``id``, ``address``, ``ts`` and ``seq`` are never null.
+``id``, ``ts`` and ``seq`` are never null. Registrations without an address share one, the null
+address.
 
 Precondition of every operator here: an id belongs to one address (ids are built
 from host and port). :func:`ids_with_many_addresses` lists the ids that break it.
@@ -37,7 +38,7 @@ TOTAL_RETRIES = 16
 def reply_message(outcome: Column, address: Column) -> Column:
     """Text sent back with a refusal, null for an accepted registration."""
     return F.when(outcome == DUPLICATE_ID, DUPLICATE_ID_MESSAGE).when(
-        outcome == DUPLICATE_ADDRESS, F.concat(F.lit(DUPLICATE_ADDRESS_MESSAGE), address)
+        outcome == DUPLICATE_ADDRESS, F.concat(F.lit(DUPLICATE_ADDRESS_MESSAGE), F.coalesce(address.cast("string"), F.lit("")))
     )
 
 
@@ -52,16 +53,15 @@ def registration_outcomes(reg: DataFrame) -> DataFrame:
     key. So the registrations of hot addresses are set apart: their owners, a bounded
     number, come from the same aggregation and are broadcast.
     """
-    # The tests on address and rows always hold; with them all uses of the aggregation
-    # have the same plan, and Spark runs it once.
+    # The test on rows always holds; with it all uses of the aggregation have the same
+    # plan, and Spark runs it once.
     owners = (
-        reg.filter(F.col("address").isNotNull())
-        .groupBy(F.col("address").alias("owner_address"))
+        reg.groupBy(F.col("address").alias("owner_address"))
         .agg(F.min(F.struct("ts", "seq", "id")).alias("owner"), F.count(F.lit(1)).alias("rows"))
     )
-    hot_owners = largest_keys(owners, "owner_address", "rows").drop("rows")
+    hot_owners = largest_keys(owners, "rows").drop("rows")
     all_owners = owners.filter(F.col("rows") > 0).drop("rows")
-    at_address = F.col("address") == F.col("owner_address")
+    at_address = F.col("address").eqNullSafe(F.col("owner_address"))
 
     rows = reg.select("seq", "ts", "id", "address")
     tagged = rows.join(F.broadcast(hot_owners), at_address, "left")
@@ -187,6 +187,12 @@ def fleet_snapshot(
     )
 
 
+def readable_totals(snapshot: DataFrame) -> DataFrame:
+    """A snapshot with its memory as text."""
+    text = F.concat(memory_text("memory"), F.lit(" Total, "), memory_text("memory_used"), F.lit(" Used"))
+    return snapshot.withColumn("memory_text", text)
+
+
 def _listing(registry: DataFrame) -> DataFrame:
     return registry.select(
         "id",

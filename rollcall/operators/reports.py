@@ -51,7 +51,7 @@ def _ordinary_gaps(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _hot_gaps(rows: DataFrame, key: str) -> DataFrame:
+def _hot_gaps(rows: DataFrame, key: str, ts: str) -> DataFrame:
     """The same for hot keys, without ever ordering one key's gaps in one task.
 
     ``rows`` has one row per key and instant, ``_rows`` of them at that instant, with
@@ -60,10 +60,14 @@ def _hot_gaps(rows: DataFrame, key: str) -> DataFrame:
     those are ordered. There is one total and at most two ranges per hot key, so both
     broadcasts are bounded by the length of the hot list.
     """
-    # Each instant brings one gap to the one before, if any, and rows - 1 gaps of 0.
+    # Each instant brings one gap to the one before, if any, and rows - 1 gaps of 0. Rows
+    # without a time have no gap.
     times = F.array(
         F.struct(F.col("_gap"), F.col("_gap").isNotNull().cast("bigint").alias("_times")),
-        F.struct(F.lit(0).cast("bigint").alias("_gap"), (F.col("_rows") - 1).alias("_times")),
+        F.struct(
+            F.lit(0).cast("bigint").alias("_gap"),
+            F.when(F.col(ts).isNotNull(), F.col("_rows") - 1).otherwise(0).alias("_times"),
+        ),
     )
     counted = rows.select(key, F.inline(times))
     real_gap = F.when(F.col("_times") > 0, F.col("_gap"))
@@ -141,7 +145,7 @@ def gap_statistics(df: DataFrame, key: str, ts: str) -> DataFrame:
     both = (
         _ordinary_gaps(_with_gap(ordinary, ts), key)
         .select(*columns)
-        .unionByName(_hot_gaps(_with_gap(heavy, ts), key).select(*columns))
+        .unionByName(_hot_gaps(_with_gap(heavy, ts), key, ts).select(*columns))
     )
     median = _div(F.col("_low") + F.col("_high"), 2)
     return both.select(key, "gaps", "min_ms", median.alias("median_ms"), "max_ms")
@@ -164,12 +168,16 @@ def duration_report_verbose(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def magnitude_report(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
-    """Row count and sum of ``measure`` (to two places) per group, each with text."""
+    """Row count and sum of ``measure`` (to two places) per group, each with text.
+
+    The text's unit follows from the sum itself, not from what it is rounded to.
+    """
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(measure), 2).alias("total"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("total"))
         .withColumn("rows_text", magnitude_text("rows"))
         .withColumn("total_text", magnitude_text("total"))
+        .withColumn("total", F.round("total", 2))
     )
 
 

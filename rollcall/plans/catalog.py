@@ -90,6 +90,10 @@ def _joined_tags(audit: DataFrame) -> DataFrame:
     return audit.withColumn("offending_tags", F.array_join("offending_tags", ","))
 
 
+PINNED_COLUMNS = ["l_returnflag", "l_quantity"]
+LAYOUT = 8
+
+
 def _quantity_by_flag(lineitem: DataFrame) -> DataFrame:
     return (
         lineitem.filter(F.col("l_quantity") > 30)
@@ -98,24 +102,34 @@ def _quantity_by_flag(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _pinned(lineitem: DataFrame) -> DataFrame:
-    return cache.cached(lineitem, ["l_returnflag", "l_quantity"])
+def _quantity_in_all(lineitem: DataFrame) -> DataFrame:
+    every = (F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
+    return lineitem.agg(*every).select(F.lit("all").alias("l_returnflag"), "rows", "quantity")
+
+
+def _on_one_pin(lineitem: DataFrame) -> DataFrame:
+    return cache.on_pinned(lineitem, PINNED_COLUMNS, [_quantity_by_flag, _quantity_in_all])
 
 
 def _after_release(lineitem: DataFrame) -> DataFrame:
-    pinned = _pinned(lineitem)
-    return _quantity_by_flag(cache.release(pinned))
+    """A pin is filled and released; what is read through it then comes from its source."""
+    pinned = cache.cached(lineitem, PINNED_COLUMNS)
+    other = cache.cached(lineitem, PINNED_COLUMNS)
+    try:
+        pinned.count()
+        released = cache.release(pinned)
+        held = (released.storageLevel.useMemory, other.storageLevel.useMemory)
+    finally:
+        cache.release(other)
+    return _quantity_by_flag(released).withColumns(
+        {"pinned": F.lit(held[0]), "other_pinned": F.lit(held[1])}
+    )
 
 
 def _footprint(lineitem: DataFrame) -> DataFrame:
-    # How a table falls into partitions depends on the files, so only what holds for
-    # any split is reported beside the total.
-    footprint = cache.partition_footprint(_pinned(lineitem))
-    return footprint.select(
-        "rows",
-        (F.col("largest") <= F.col("rows")).alias("largest_within_rows"),
-        (F.col("skew") >= 1).alias("skew_at_least_one"),
-    )
+    """Of a layout that is fixed by the order key."""
+    laid = lineitem.repartitionById(LAYOUT, (F.col("l_orderkey") % LAYOUT).cast("int"))
+    return cache.on_pinned(laid, ["l_orderkey"], [cache.partition_footprint])
 
 
 def queries() -> dict[str, Query]:
@@ -128,12 +142,18 @@ def queries() -> dict[str, Query]:
         "fleet_snapshot_by_memory_free": _on_registry(
             lambda fleet: registry.fleet_snapshot(fleet, by="memory_free")
         ),
+        "fleet_snapshot_text": _on_registry(
+            lambda fleet: registry.readable_totals(registry.fleet_snapshot(fleet))
+        ),
         "fleet_listing": _on_registry(registry.fleet_listing),
         "listing_by_memory": _on_registry(registry.listing_by_memory),
         "listing_by_memory_top": _on_registry(
             lambda fleet: registry.listing_by_memory(fleet, TOP)
         ),
         "container_state": _lost_containers,
+        "container_state_json": lambda spark, folder: export.container_state_json(
+            _lost_containers(spark, folder)
+        ),
         "container_json": _on_registry(export.container_json),
         "fleet_json": _on_registry(lambda fleet: export.fleet_json(fleet, MASTER_URL)),
         "attempt_tiers": _on_log(lambda reg, hb: registry.attempt_tiers(reg)),
@@ -207,11 +227,12 @@ def queries() -> dict[str, Query]:
         "markup_audit_page_tags": _on(
             "pages", lambda pages: _joined_tags(links.markup_audit(pages, PAGE_TAGS))
         ),
+        "shown_markup": _on("pages", lambda pages: links.shown_markup(pages, "/proxy", PAGE_TAGS)),
         "markup_summary": _on("pages", links.markup_summary),
         "offending_tags": _on("pages", links.offending_tags),
         "resolve_links": _on("pages", links.resolve_links),
         "link_in_degree": _on("pages", links.link_in_degree),
-        "cached_query": _on("lineitem", lambda lines: _quantity_by_flag(_pinned(lines))),
+        "cached_query": _on("lineitem", _on_one_pin),
         "released_query": _on("lineitem", _after_release),
         "partition_footprint": _on("lineitem", _footprint),
     }

@@ -229,10 +229,11 @@ def _magnitude(value: str) -> str:
 def _magnitudes(source: str, keys: str, measure: str) -> str:
     return f"""
         WITH sums AS (
-            SELECT {keys}, count(*) AS rows, round(sum({measure}), 2) AS total
+            SELECT {keys}, count(*) AS rows, sum({measure}) AS raw
             FROM {source} GROUP BY {keys}
         )
-        SELECT *, {_magnitude("rows")} AS rows_text, {_magnitude("total")} AS total_text
+        SELECT * EXCLUDE (raw), round(raw, 2) AS total, {_magnitude("rows")} AS rows_text,
+               {_magnitude("raw")} AS total_text
         FROM sums
     """
 
@@ -285,8 +286,24 @@ def _audit(allowed: tuple[str, ...]) -> str:
                          AND NOT starts_with(h.href, '/')) AS INTEGER) AS outside_links
             FROM clean c LEFT JOIN offending o ON o.page_id = c.page_id
         ),
+        piece AS (
+            SELECT page_id, unnest(string_split(html, '<')[2:]) AS piece FROM clean
+        ),
+        opener AS (
+            SELECT page_id, CASE WHEN strpos(piece, '>') = 0 THEN piece
+                                 ELSE regexp_replace(regexp_replace(piece, '"[^"]*"', 'Q', 'g'),
+                                                     '''[^'']*''', 'Q', 'g') END AS bare
+            FROM piece WHERE regexp_matches(piece, '^(?:[\w.-]+:)?[A-Za-z_]')
+        ),
+        broken AS (
+            SELECT DISTINCT page_id FROM opener
+            WHERE strpos(bare, '>') = 0
+               OR NOT regexp_matches(trim(left(bare, strpos(bare, '>') - 1)) || ' ',
+                                     '^[\w.:-]+(\s+[^\s=Q/]+\s*=\s*Q)*\s*/?\s*$')
+        ),
         judged AS (
             SELECT *, CASE WHEN offending_tags <> '' THEN 'ESCAPE_TAG'
+                           WHEN page_id IN (SELECT page_id FROM broken) THEN 'ESCAPE_MALFORMED'
                            WHEN outside_links > 0 THEN 'ESCAPE_LINK' ELSE 'ALLOW' END AS verdict
             FROM audit
         )
@@ -323,6 +340,10 @@ def oracle_sql() -> dict[str, str]:
         "fleet_snapshot": f"WITH {_FLEET} SELECT {_TOTALS} FROM fleet",
         "fleet_snapshot_by_memory_free": f"""
             WITH {_FLEET} SELECT memory_free, {_TOTALS} FROM fleet GROUP BY memory_free""",
+        "fleet_snapshot_text": f"""
+            WITH {_FLEET}, total AS (SELECT {_TOTALS} FROM fleet)
+            SELECT *, {_memory_text("memory")} || ' Total, ' || {_memory_text("memory_used")}
+                   || ' Used' AS memory_text FROM total""",
         "fleet_listing": f"WITH {_FLEET} SELECT {_LISTING} FROM fleet ORDER BY id",
         "listing_by_memory": f"""
             WITH {_FLEET} SELECT {_LISTING} FROM fleet
@@ -335,6 +356,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT host, port, id AS container_id, '{MASTER_URL}' AS master_url, memory,
                    memory_used, '{MASTER_WEB_UI_URL}' AS master_web_ui_url
             FROM fleet WHERE id IN (SELECT id FROM message WHERE kind = 'lost')""",
+        "container_state_json": f"""
+            WITH {_FLEET}
+            SELECT id, '{{"id":"' || id || '","masterurl":"{MASTER_URL}","masterwebuiurl":"'
+                   || '{MASTER_WEB_UI_URL}","memory":' || memory || ',"memoryused":'
+                   || memory_used || '}}' AS json
+            FROM fleet WHERE id IN (SELECT id FROM message WHERE kind = 'lost')""",
         "container_json": f"WITH {_FLEET} SELECT id, {_CONTAINER_JSON} AS json FROM fleet",
         "fleet_json": f"""
             WITH {_FLEET}, total AS (SELECT {_TOTALS} FROM fleet)
@@ -422,6 +449,13 @@ def oracle_sql() -> dict[str, str]:
             FROM counts""",
         "markup_audit": f"WITH {_STRICT} SELECT * FROM judged",
         "markup_audit_page_tags": f"WITH {_audit(PAGE_TAGS)} SELECT * FROM judged",
+        "shown_markup": rf"""
+            WITH {_audit(PAGE_TAGS)}
+            SELECT page_id, verdict, CASE WHEN verdict = 'ALLOW'
+                THEN regexp_replace(html, '(<a href=")/?', '\1/proxy/', 'g')
+                ELSE replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'),
+                     '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') END AS shown
+            FROM judged JOIN (SELECT page_id, html FROM pages) p USING (page_id)""",
         "markup_summary": f"""
             WITH {_STRICT}
             SELECT nullif(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1), '') AS host,
@@ -434,9 +468,12 @@ def oracle_sql() -> dict[str, str]:
         "resolve_links": f"WITH {_LINKS} SELECT * FROM link",
         "link_in_degree": f"""
             WITH {_LINKS} SELECT resolved, count(*) AS links FROM link GROUP BY resolved""",
-        "cached_query": _BY_FLAG,
-        "released_query": _BY_FLAG,
+        "cached_query": f"""
+            {_BY_FLAG} UNION ALL SELECT 'all', count(*), sum(l_quantity) FROM lineitem""",
+        "released_query": f"""
+            SELECT *, FALSE AS pinned, TRUE AS other_pinned FROM ({_BY_FLAG}) x""",
         "partition_footprint": """
-            SELECT count(*) AS rows, TRUE AS largest_within_rows, TRUE AS skew_at_least_one
-            FROM lineitem""",
+            SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS rows, max(n) AS largest,
+                   avg(n) AS mean, max(n) / avg(n) AS skew
+            FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey % 8) x""",
     }

@@ -12,10 +12,9 @@ and ruinous for a very large one, so ordered operators treat the two apart:
 
 Which keys are hot only decides the route; both routes give the same rows.
 
-The hot list is safe to broadcast at any data size: it is the ``HOT_KEYS`` largest
-keys with at least ``spark.rollcall.hotKeyRows`` rows. A key that is not on it has
-fewer rows than that, or at most 1/``HOT_KEYS`` of all rows. Where no key is hot,
-AQE sees the empty list and drops the hot route before it scans anything.
+The hot list is safe to broadcast at any data size: it has the keys with at least
+``spark.rollcall.hotKeyRows`` rows, so no more than the rows of the table divided by
+that number (100,000 keys in 10**12 rows at the default). Where no key is hot, AQE sees the empty list and drops the hot route before it scans anything.
 
 What stays in one task is the rows of one hot key in one cell, down to 1/``CELLS`` of
 the time the key spans; rows of one key at one instant cannot be told apart by time.
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-HOT_KEYS = 1_000
 # A key gets a cell for every 1/CELLS_PER_HOT_KEY of the rows that make it hot, so that
 # cells are well filled, but no more than CELLS.
 CELLS_PER_HOT_KEY = 64
@@ -47,17 +45,13 @@ def hot_key_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_KEY_ROWS, str(DEFAULT_HOT_KEY_ROWS)))
 
 
-def largest_keys(counted: DataFrame, key: str, rows: str) -> DataFrame:
+def largest_keys(counted: DataFrame, rows: str) -> DataFrame:
     """The hot ones of one row per ``key`` with its number of ``rows``."""
-    return (
-        counted.filter(F.col(rows) >= hot_key_rows(counted.sparkSession))
-        .orderBy(F.desc(rows), key)
-        .limit(HOT_KEYS)
-    )
+    return counted.filter(F.col(rows) >= hot_key_rows(counted.sparkSession))
 
 
 def hot_keys(df: DataFrame, key: str, position: Column) -> DataFrame:
-    """At most ``HOT_KEYS`` rows: the largest keys, and how their range is cut.
+    """One row per hot key: the key, and how its range is cut.
 
     One aggregation over key and ordering column, combined before the shuffle. The
     span is one array ``[start, cell width]`` so that every user of the list needs
@@ -75,7 +69,7 @@ def hot_keys(df: DataFrame, key: str, position: Column) -> DataFrame:
             F.max("_position").alias("_hi"),
         )
     )
-    return largest_keys(counted, _KEY, "_rows").select(_KEY, F.array("_lo", width).alias(_SPAN))
+    return largest_keys(counted, "_rows").select(_KEY, F.array("_lo", width).alias(_SPAN))
 
 
 def split_hot(

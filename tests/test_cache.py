@@ -41,3 +41,26 @@ def test_footprint(spark):
     assert {tuple(part) for part in cache.partition_rows(pinned).collect()} == {(0, 25), (3, 10)}
     cache.release(pinned)
     assert cache.partition_footprint(spark.range(0)).first().rows == 0
+
+
+def test_releasing_one_pin_leaves_another(spark):
+    lineitem = table(spark, SMALL, "lineitem")
+    one, other = (cache.cached(lineitem, ["l_returnflag", "l_quantity"]) for _ in range(2))
+    try:
+        assert one.count() == other.count() == lineitem.count()
+        assert not cache.release(one).storageLevel.useMemory
+        assert other.storageLevel.useMemory and "InMemoryTableScan" in plan(grouped(other))
+    finally:
+        cache.release(other)
+
+
+def test_several_queries_on_one_pin(spark):
+    seen = []
+
+    def query(frame):
+        seen.append(frame.storageLevel.useMemory)
+        return grouped(frame)
+
+    rows = cache.on_pinned(table(spark, SMALL, "lineitem"), None, [query, query]).collect()
+    assert seen == [True, True] and len(rows) == 2 * len(set(rows))
+    assert not spark.sparkContext._jsc.getPersistentRDDs().size()

@@ -36,7 +36,7 @@ def test_audit(pages):
         5: ([], 1, 0, "ALLOW"),
         6: ([], 1, 0, "ALLOW"),
         7: (["A", "abbr"], 0, 0, "ESCAPE_TAG"),
-        8: ([], 1, 0, "ALLOW"),
+        8: ([], 1, 0, "ESCAPE_MALFORMED"),
         9: ([], 0, 0, "ALLOW"),
     }
 
@@ -49,7 +49,8 @@ def test_allowed_tags_can_be_widened(pages):
 def test_summaries(pages):
     counts = {tuple(row) for row in links.markup_summary(pages).collect()}
     assert counts == {
-        ("h.org", "ALLOW", 6), ("h.org", "ESCAPE_LINK", 1), ("h.org", "ESCAPE_TAG", 2),
+        ("h.org", "ALLOW", 5), ("h.org", "ESCAPE_LINK", 1), ("h.org", "ESCAPE_TAG", 2),
+        ("h.org", "ESCAPE_MALFORMED", 1),
         (None, "ALLOW", 2),
     }
     tags = {tuple(row) for row in links.offending_tags(pages).collect()}
@@ -71,10 +72,43 @@ def test_links_lose_one_slash_on_each_side(pages):
     assert ("http://h.org/in", 2) in degree
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<a href=http://evil.org>x</a>",
+        '<a/href="http://evil.org">x</a>',
+        '<a href="http://evil.org" x=">',
+        """<a title="it's" href=//e.org>x""",
+        "<span onclick=x()>y</span>",
+        '<a href="/in" b>x</a>',
+        '<span',
+    ],
+)
+def test_what_is_not_whole_is_never_allowed(spark, html):
+    pages = spark.createDataFrame([(1, "http://h", html)], "page_id bigint, url string, html string")
+    assert links.markup_audit(pages).first().verdict == "ESCAPE_MALFORMED"
+    assert "<" not in links.shown_markup(pages, "/p").first().shown
+
+
+def test_shown_markup(spark):
+    html = """<a title="href='/t'" href="/in">href="/x"</a><s:span/><a href='rel'>y</a>"""
+    rows = [(1, '<a class="c" href="/in">href="/x"</a>'), (2, "<b>&'\"</b>"), (3, None), (4, html)]
+    pages = spark.createDataFrame([(i, "http://h", t) for i, t in rows], "page_id bigint, url string, html string")
+    shown = {r.page_id: (r.verdict, r.shown) for r in links.shown_markup(pages, "/p$1/").collect()}
+    assert shown[1] == ("ALLOW", '<a class="c" href="/p$1/in">href="/x"</a>')
+    assert shown[2] == ("ESCAPE_TAG", "&lt;b&gt;&amp;&#39;&quot;&lt;/b&gt;") and shown[3] == ("ALLOW", None)
+    assert shown[4][0] == "ESCAPE_LINK"
+
+
+def test_unclosed_comments_take_linear_time(spark):
+    pages = spark.createDataFrame([(1, "http://h", "<a href='/x'/>" + "<!-- " * 200_000), (2, "http://h", "<a " + "x" * 300_000)], "page_id bigint, url string, html string")
+    assert [r.verdict for r in links.markup_audit(pages).orderBy("page_id").collect()] == ["ALLOW", "ESCAPE_MALFORMED"]
+
+
 def test_very_long_tags_are_read_whole(spark):
     attributes = " ".join(f"""a{n}="'x>" b{n}='"'""" for n in range(60_000))
     html = f'<a {attributes} href="/end">x</a>' + "<a " + "'\"" * 50_000
     pages = spark.createDataFrame([(1, "http://h", html)], "page_id bigint, url string, html string")
     row = links.markup_audit(pages).first()
-    assert (row.anchors, row.outside_links, row.verdict) == (1, 0, "ALLOW")
+    assert (row.anchors, row.outside_links, row.verdict) == (1, 0, "ESCAPE_MALFORMED")
     assert links.resolve_links(pages).first().resolved == "http://h/end"

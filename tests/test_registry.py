@@ -188,3 +188,15 @@ def test_attempts_name_their_tier(spark):
 def test_precondition_is_reported(spark):
     reg = requests(spark, [(1, "a", "h"), (2, "a", "k"), (3, "b", "h"), (4, "b", "h")])
     assert [row.id for row in registry.ids_with_many_addresses(reg).collect()] == ["a"]
+
+
+def test_registrations_without_an_address_are_kept(spark):
+    rows = [(1, 10, "a", None), (2, 11, "b", None), (3, 12, "a", None), (4, 13, "c", "x")]
+    reg = spark.createDataFrame(rows, "seq long, s long, id string, address string").selectExpr(
+        "seq", "timestamp_seconds(s) AS ts", "id", "address"
+    )
+    found = {r.seq: (r.outcome, r.message) for r in registry.registration_outcomes(reg).collect()}
+    assert {k: v[0] for k, v in found.items()} == {
+        1: "REGISTERED", 2: "DUPLICATE_ADDRESS", 3: "DUPLICATE_ID", 4: "REGISTERED"
+    }
+    assert found[2][1] == registry.DUPLICATE_ADDRESS_MESSAGE

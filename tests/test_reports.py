@@ -65,3 +65,9 @@ def test_progress_counts_every_row(spark):
     }
     none = reports.progress_report(frame, ["g"], "s", {"F": "completed"}).first()
     assert (none.failed, none.label) == (0, "3/10")
+
+
+def test_unit_follows_from_the_sum_itself(spark):
+    frame = spark.createDataFrame([("a", 1999.996), ("b", 2000.0)], "k string, v double")
+    found = {r.k: (r.total, r.total_text) for r in reports.magnitude_report(frame, ["k"], "v").collect()}
+    assert found == {"a": (2000.0, "1999"), "b": (2000.0, "2.0 K")}
