@@ -18,18 +18,16 @@ from rollcall.sources import (
     table_stream,
 )
 from rollcall.streaming import (
-    run_appends,
+    run_alive_spans,
+    run_registration_outcomes,
+    run_replay,
     run_updates,
-    stream_alive_spans,
     stream_last_seen,
-    stream_registration_outcomes,
-    stream_replay,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 DAY = timedelta(hours=24)
-HOUR = timedelta(hours=1)
 MASTER_URL = "fleet://host-0:7077"
 MASTER_WEB_UI_URL = "http://host-0:8080"
 TOP = 20
@@ -77,15 +75,6 @@ def _liveness(spark: SparkSession, folder: str) -> DataFrame:
     return liveness.liveness(registrations(events), heartbeats(events), latest, DAY)
 
 
-def _streamed_spans(events: DataFrame) -> DataFrame:
-    spans = run_appends(stream_alive_spans(heartbeats(events), DAY, HOUR), "alive-spans")
-    zoneless = {
-        name: F.col(name).cast("timestamp_ntz")
-        for name in ("started_at", "last_active", "ended_at")
-    }
-    return spans.withColumns(zoneless)
-
-
 def _joined_tags(audit: DataFrame) -> DataFrame:
     return audit.withColumn("offending_tags", F.array_join("offending_tags", ","))
 
@@ -171,18 +160,18 @@ def queries() -> dict[str, Query]:
         "heartbeat_gaps": _on_log(lambda reg, hb: liveness.heartbeat_gaps(reg, hb, DAY)),
         "alive_spans": _on_log(lambda reg, hb: liveness.alive_spans(reg, hb, DAY)),
         "stream_registration_outcomes": _on_stream(
-            lambda events: run_appends(
-                stream_registration_outcomes(registrations(events)), "registration-outcomes"
-            )
+            lambda events: run_registration_outcomes(registrations(events))
         ),
         "stream_last_seen": _on_stream(
             lambda events: run_updates(
                 stream_last_seen(heartbeats(events)), "id", "last_seen", "last-seen"
             )
         ),
-        "stream_alive_spans": _on_stream(_streamed_spans),
+        "stream_alive_spans": _on_stream(
+            lambda events: run_alive_spans(heartbeats(events), DAY)
+        ),
         "stream_replay": _on_stream(
-            lambda events: run_appends(stream_replay(message_log(events)), "replay")
+            lambda events: run_replay(message_log(events))
         ),
         "duration_report_events": _on(
             "events", lambda events: reports.duration_report(events, "user_id", "ts")

@@ -19,8 +19,8 @@ def table_stream(
 ) -> DataFrame:
     """Read the same table as a file stream.
 
-    The limits bound a micro-batch, and with it the rows a stateful operator can be
-    handed for one key at once. They set the pace only; every file is read.
+    The limits bound a micro-batch; every file is read. The jobs in ``rollcall.streaming`` give
+    the same answers however rows are cut into micro-batches.
     """
     reader = spark.readStream.schema(table(spark, folder, name).schema)
     if max_files_per_trigger:

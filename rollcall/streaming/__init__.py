@@ -1,16 +1,16 @@
 from rollcall.streaming.jobs import (
-    stream_alive_spans,
+    run_alive_spans,
+    run_registration_outcomes,
+    run_replay,
     stream_last_seen,
-    stream_registration_outcomes,
-    stream_replay,
 )
-from rollcall.streaming.sinks import run_appends, run_updates
+from rollcall.streaming.sinks import run_folded, run_updates
 
 __all__ = [
-    "run_appends",
+    "run_alive_spans",
+    "run_folded",
+    "run_registration_outcomes",
+    "run_replay",
     "run_updates",
-    "stream_alive_spans",
     "stream_last_seen",
-    "stream_registration_outcomes",
-    "stream_replay",
 ]

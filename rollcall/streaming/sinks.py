@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.sources.workspace import new_folder
 
 
-def run_appends(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Run an append-mode stream into a Parquet table and return the table.
+Fold = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at a path, if there is one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
 
-    The file sink commits each micro-batch once. Running again with the same
-    ``folder`` goes on from its checkpoint.
+def run_folded(
+    stream: DataFrame, name: str, fold: Fold, folder: str | None = None, last_only: bool = False
+) -> DataFrame:
+    """Run a stream over what is available now, fold its rows into a state, and return the rows that come out.
+
+    Micro-batches write their rows to ``pending``, each to its own folder, so a repeated one changes nothing. Then
+    ``fold(new rows, state)`` gives the rows of this run and the next state, both written under the
+    run's version; a line in ``versions``, written last, makes them count. A run that broke off is done again
+    from the same pending rows. The result is the rows of all versions, or of the last one only.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark, name)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/pending/epoch={epoch}")
+
     query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/rows")
+        stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    versions = _table(spark, f"{folder}/versions")
+    version, upto = (0, -1) if versions is None else versions.agg(F.max("version") + 1, F.max("upto")).first()
+    pending = _table(spark, f"{folder}/pending")
+    state = _table(spark, f"{folder}/state/version={version - 1}") if version else None
+    if pending is not None:
+        new = pending.where(F.col("epoch") > upto)
+        last = new.agg(F.max("epoch")).first()[0]
+        if last is not None:
+            rows, after = fold(new.select(*stream.columns), state)
+            rows.write.mode("overwrite").parquet(f"{folder}/rows/version={version}")
+            after.write.mode("overwrite").parquet(f"{folder}/state/version={version}")
+            line = spark.range(1).select(F.lit(version).alias("version"), F.lit(int(last)).alias("upto"))
+            line.write.mode("append").parquet(f"{folder}/versions")
+            version += 1
+    if not version:
+        return fold(spark.createDataFrame([], stream.schema), None)[0]
+    first = version - 1 if last_only else 0
+    return spark.read.parquet(*[f"{folder}/rows/version={at}" for at in range(first, version)])
 
 
 def run_updates(

@@ -7,15 +7,16 @@ import pytest
 from logs import LOG_TYPE, WholeLog, at, log, random_rows, split
 from pyspark.sql import functions as F
 
-from rollcall.operators import registry
-from rollcall.sources import new_folder, table_stream
+from conftest import SMALL
+from rollcall.operators import liveness, registry
+from rollcall.operators.replay import replay
+from rollcall.sources import heartbeats, message_log, new_folder, registrations, table, table_stream
 from rollcall.streaming import (
-    run_appends,
+    run_alive_spans,
+    run_registration_outcomes,
+    run_replay,
     run_updates,
-    stream_alive_spans,
     stream_last_seen,
-    stream_registration_outcomes,
-    stream_replay,
 )
 
 ALL = ("register", "heartbeat", "lost")
@@ -55,7 +56,7 @@ def outcomes(frame):
 def test_registrations_over_micro_batches_equal_batch(spark, feed):
     rows = random_rows(21, 300, 8, 3, ("register",))
     feed.add(rows, files=4)
-    streamed = run_appends(stream_registration_outcomes(feed.stream()), "s1")
+    streamed = run_registration_outcomes(feed.stream())
     batch = registry.registration_outcomes(log(spark, rows))
     assert sorted(streamed.collect()) == sorted(batch.collect())
     assert outcomes(streamed) == WholeLog(rows).outcomes
@@ -65,18 +66,40 @@ def test_replay_goes_on_from_its_checkpoint(spark, feed, tmp_path):
     rows = random_rows(22, 240, 5, 4, ALL)
     folder = str(tmp_path / "job")
     feed.add(rows[:130], files=2)
-    first = run_appends(stream_replay(feed.stream()), "s4", folder)
+    first = run_replay(feed.stream(), folder)
     assert first.count() == 130
     feed.add(rows[130:], files=2)
-    both = run_appends(stream_replay(feed.stream()), "s4", folder)
+    both = run_replay(feed.stream(), folder)
     assert outcomes(both) == WholeLog(rows).outcomes
 
 
-def test_arrival_rules_across_micro_batches(feed):
+def test_time_rules_within_a_run_and_arrival_across_runs(feed, tmp_path):
+    folder = str(tmp_path / "job")
     feed.add([(9, "register", "late-stamp", "h")])
-    feed.add([(1, "register", "early-stamp", "h"), (0, "register", "late-stamp", "h")])
-    found = run_appends(stream_registration_outcomes(feed.stream()), "s1")
-    assert outcomes(found) == ["REGISTERED", "DUPLICATE_ADDRESS", "DUPLICATE_ID"]
+    feed.add([(1, "register", "early-stamp", "h"), (2, "register", "late-stamp", "h")])
+    found = run_registration_outcomes(feed.stream(), folder)
+    assert outcomes(found) == ["DUPLICATE_ADDRESS", "REGISTERED", "DUPLICATE_ADDRESS"]
+    feed.add([(0, "register", "earlier", "h"), (0, "register", "early-stamp", "h"), (0, "register", "other", "g")])
+    again = run_registration_outcomes(feed.stream(), folder)
+    assert outcomes(again)[3:] == ["DUPLICATE_ADDRESS", "DUPLICATE_ID", "REGISTERED"]
+    assert run_registration_outcomes(feed.stream(), folder).count() == again.count() == 6
+
+
+@pytest.mark.parametrize("files", [1, 2, 6])
+def test_the_cut_into_micro_batches_has_no_bearing(spark, tmp_path, files):
+    events = table(spark, SMALL, "events")
+    for part in range(6):  # interleaved in time
+        events.where(F.col("event_id") % 6 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = lambda: table_stream(spark, str(tmp_path), "events", max_files_per_trigger=files)
+    same = lambda found, expected: sorted(map(str, found.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+    assert same(run_registration_outcomes(registrations(stream())), registry.registration_outcomes(registrations(events)))
+    assert same(run_replay(message_log(stream())), replay(message_log(events)))
+    hb = heartbeats(events)
+    spans = run_alive_spans(heartbeats(stream()), timedelta(hours=24))
+    assert spans.agg(F.sum("events")).first()[0] == hb.count()
+    everyone = hb.groupBy("id").agg(F.min(F.struct("ts", "seq", "address")).alias("f")).select((F.col("f.seq") * 0 - 1).alias("seq"), (F.col("f.ts") - F.expr("INTERVAL 100 DAYS")).alias("ts"), "id", F.col("id").alias("address"))
+    batch = liveness.alive_spans(everyone, hb, timedelta(hours=24)).where("started_at >= '2024-01-01'")
+    assert same(spans, batch)
 
 
 def test_last_seen_is_updated(feed, tmp_path):
@@ -92,24 +115,19 @@ def test_last_seen_is_updated(feed, tmp_path):
     assert latest() == {"a": at(9), "b": at(5)}
 
 
-def test_spans_close_by_watermark_and_late_rows_are_dropped(feed):
-    beat = "heartbeat"
+def test_spans_of_runs_are_merged(feed, tmp_path):
+    beat, folder = "heartbeat", str(tmp_path / "job")
     feed.add([(0, beat, "a", "h"), (60, beat, "a", "h"), (121, beat, "a", "h")])
-    feed.add([(1000, beat, "b", "h")])
-    feed.add([(1005, beat, "b", "h")])
-    feed.add([(2, beat, "a", "h"), (1010, beat, "a", "h")])  # first one is too late
-    feed.add([(2000, beat, "c", "h")])
-    spans = run_appends(stream_alive_spans(feed.stream(), MINUTE, MINUTE), "s3")
-    found = spans.select(
-        "id", *[F.col(name).cast("timestamp_ntz") for name in ("started_at", "ended_at")], "events"
-    ).collect()
-    # Exactly one timeout apart stays together, one second more does not; c is open.
-    assert {tuple(row) for row in found} == {
-        ("a", at(0), at(120), 2),
-        ("a", at(121), at(181), 1),
-        ("b", at(1000), at(1065), 2),
-        ("a", at(1010), at(1070), 1),
-    }
+
+    def found():
+        spans = run_alive_spans(feed.stream(), MINUTE, folder)
+        return {tuple(r) for r in spans.select("id", "started_at", "ended_at", "events").collect()}
+
+    # Exactly one timeout apart stays together, one second more does not.
+    assert found() == {("a", at(0), at(120), 2), ("a", at(121), at(181), 1)}
+    feed.add([(1000, beat, "b", "h"), (90, beat, "a", "h"), (175, beat, "a", "h")])  # the second closes a gap, late
+    assert found() == {("a", at(0), at(235), 5), ("b", at(1000), at(1060), 1)}
+    assert found() == {("a", at(0), at(235), 5), ("b", at(1000), at(1060), 1)}
 
 
 def session_with(shared, master):
