@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from rollcall.llm.licenses import PHRASES, STEP, TEMPLATES
+
 SPACE = r"\x20\x09-\x0D"
 
 #: Rows, words and windows of all documents; rid tells repeated rows apart.
@@ -120,9 +124,126 @@ FROM p LEFT JOIN newest USING (payload_digest)
 """
 
 
+def personal_data(reach: int, share: float, texts: int) -> str:
+    """Plain patterns with positions from what stands between matches, and terms by counts of documents."""
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    starts = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for k, (kind, p) in enumerate(kinds.items())
+    )
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), every AS (
+  SELECT rid, k, kind, g, m, unnest(m) AS v, generate_subscripts(m, 1) AS i FROM ({found}) f WHERE len(m) > 0
+), placed AS (
+  SELECT rid, k, kind, v, ({starts})::BIGINT AS a, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM every
+), spans AS (
+  SELECT rid, k, kind, v, a, a + length(v) AS b FROM placed
+  WHERE kind = 'email'
+    OR (kind = 'ip' AND list_max(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) END)) <= 255)
+    OR (kind = 'phone' AND length(digits) BETWEEN 9 AND 15)
+    OR (kind = 'card' AND length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1),
+         lambda n: CASE WHEN n % 2 = 1 THEN digits[length(digits) - n + 1]::INTEGER
+           ELSE (digits[length(digits) - n + 1]::INTEGER * 2) // 10 + (digits[length(digits) - n + 1]::INTEGER * 2) % 10 END)) % 10 = 0)
+), sides AS (
+  SELECT rid, kind || ':' || v AS entity, greatest(a - {reach}, 0) AS low, a AS high, a > {reach} AS cut_low, false AS cut_high FROM spans
+  UNION ALL
+  SELECT rid, kind || ':' || v, b, least(b + {reach}, length(t)), false, b + {reach} < length(t) FROM spans JOIN d USING (rid)
+), stretch AS (
+  SELECT s.*, substring(t, (low + 1)::BIGINT, (high - low)::BIGINT) AS c FROM sides s JOIN d USING (rid)
+), words AS (
+  SELECT *, unnest(m) AS w, generate_subscripts(m, 1) AS i FROM (SELECT *, regexp_extract_all(c, '\p{{L}}+') AS m, string_split_regex(c, '\p{{L}}+') AS g FROM stretch) x WHERE len(m) > 0
+), near AS (
+  SELECT rid, entity, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, a, b FROM (
+    SELECT *, (low + {starts})::BIGINT AS a, (low + {starts} + length(w))::BIGINT AS b FROM words
+  ) y WHERE NOT (cut_low AND a = low) AND NOT (cut_high AND b = high)
+    AND NOT EXISTS (SELECT 1 FROM spans o WHERE o.rid = y.rid AND o.a < y.b AND y.a < o.b)
+), joint AS (
+  SELECT entity, term, count(*) AS n_et FROM (SELECT DISTINCT rid, entity, term FROM near) x JOIN d USING (rid)
+  GROUP BY entity, term HAVING count(DISTINCT t) >= {texts}
+), entities AS (
+  SELECT kind || ':' || v AS entity, count(DISTINCT rid) AS n_e FROM spans GROUP BY 1
+), terms AS (
+  SELECT term, count(DISTINCT rid) AS n_t FROM (
+    SELECT rid, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\p{{L}}+')) AS term FROM d
+  ) x GROUP BY term
+), good AS (
+  SELECT entity, term FROM joint JOIN entities USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM d) c
+  WHERE log2(n / n_e) > 0 AND log2(n_et * n / (n_e * n_t)) >= {share} * log2(n / n_e)
+), all_spans AS (
+  SELECT rid, k, kind, a, b FROM spans
+  UNION ALL
+  SELECT DISTINCT rid, 4, 'term', a, b FROM near JOIN good USING (entity, term)
+), told AS (
+  SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+    count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'term') AS n_term,
+    coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a, b) FILTER (kind <> 'term'), '') AS base,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a, b) AS spans
+  FROM all_spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
+  coalesce(n_phone, 0)::BIGINT AS n_phone, coalesce(n_term, 0)::BIGINT AS n_term, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (rid)
+"""
+
+
+def licenses() -> str:
+    """Phrases by neighbouring words; every window against every template, without filters."""
+    rows = []
+    for at, template in enumerate(TEMPLATES):
+        words = sorted(set(re.findall(r"[a-z0-9]+", template.text.lower())))
+        need = -(-9 * len(words) // 10)
+        rows += [f"({at}, '{template.label}', '{word}', {len(words)}, {need})" for word in words]
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), u AS (
+  SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM d
+), runs AS (
+  SELECT rid, pos, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p AS three,
+    word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p AS four
+  FROM u WINDOW p AS (PARTITION BY rid ORDER BY pos)
+), hits AS (
+  SELECT rid, pos, label FROM runs JOIN (VALUES {phrases}) AS v(phrase, label) ON phrase = three OR phrase = four
+), base AS (
+  SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM hits GROUP BY rid
+), template(template, label, word, size, need) AS (
+  VALUES {", ".join(rows)}
+), held AS (
+  SELECT DISTINCT rid, pos // {STEP} - k AS block, word FROM u, (SELECT unnest([0, 1]) AS k) ks
+  WHERE pos // {STEP} >= k AND word IN (SELECT word FROM template)
+), matched AS (
+  SELECT rid, label, count(*) / size AS share FROM held JOIN template USING (word)
+  GROUP BY rid, block, template, label, size, need HAVING count(*) >= need
+), best AS (
+  SELECT rid, max(share) AS share FROM matched GROUP BY rid
+), named AS (
+  SELECT rid, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT DISTINCT rid, label FROM (SELECT rid, label FROM matched UNION ALL SELECT rid, label FROM hits) x) y GROUP BY rid
+), base_named AS (
+  SELECT rid, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT rid, label FROM hits) x GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN best USING (rid) LEFT JOIN named USING (rid) LEFT JOIN base_named USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": OP2,
         "op3_near_duplicates": near_duplicates(3, 85),
+        "op4_pii": personal_data(64, 0.8, 2),
+        "op5_licenses": licenses(),
         "op9_warc": OP9,
     }
