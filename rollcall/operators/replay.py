@@ -6,8 +6,10 @@ to register takes the address over. That event is this library's input: it stand
 for a state the recovery protocol provides for.
 
 The next owner depends on the previous one, so no fixed window expresses this. The
-messages of each address are folded in order instead, as one pass over sorted
-partitions: state is three values, and no group is ever held in memory.
+registrations and losses of each address are folded in order instead, as one pass over
+sorted partitions: state is three values, and no group is ever held in memory. Heartbeats,
+which are nearly all of a log, never change the state and never reach Python: a window
+gives each the state after the latest message before it.
 
 A hot address (see ``plans.skew``) is cut into cells. A first pass reduces each cell
 to its effect on any state, a second walks those effects in order to find the state
@@ -27,9 +29,12 @@ from pyspark.sql.window import Window
 from rollcall.functions.clock import epoch_micros
 from rollcall.functions.ownership import (
     DUPLICATE_ADDRESS,
+    IGNORED,
     MARKED_UNKNOWN,
     NO_OWNER,
+    RECONNECT,
     REGISTERED,
+    UPDATED,
     answer,
     apply_effects,
     effects,
@@ -39,6 +44,8 @@ from rollcall.sources.fleet_log import HEARTBEAT
 
 COLUMNS = ["seq", "ts", "kind", "id", "address"]
 _STATE = ["owner", "lost", "dead"]
+# The state after a message, as far as heartbeats depend on it.
+_AFTER = ["owner_after", "dead_after"]
 _EFFECT_COLUMNS = [
     "start", "start_owner", "owner", "lost", "dead_from", "dead_id", "sole_registrant"
 ]
@@ -71,6 +78,7 @@ def _answered(keys: list[str], kept: list[str], resumes: bool) -> Callable[[Batc
             rows = zip(_groups(batch, keys), _values(batch, "kind"), _values(batch, "id"))
             outcomes = [None] * batch.num_rows
             replaced = [None] * batch.num_rows
+            owners, dead = [None] * batch.num_rows, [None] * batch.num_rows
             for at, (group, kind, sender) in enumerate(rows):
                 if group != current:
                     current, state = group, NO_OWNER
@@ -80,11 +88,12 @@ def _answered(keys: list[str], kept: list[str], resumes: bool) -> Callable[[Batc
                 owner = state[0]
                 outcome, state = answer(state, kind, sender)
                 outcomes[at] = outcome
+                owners[at], dead[at] = state[0], state[2]
                 if outcome == REGISTERED:
                     replaced[at] = owner
             arrays = [batch.column(name) for name in kept]
-            arrays += [pa.array(outcomes, pa.string()), pa.array(replaced, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, "outcome", "replaced"])
+            arrays += [pa.array(values, pa.string()) for values in (outcomes, replaced, owners, dead)]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "outcome", "replaced", *_AFTER])
 
     return run
 
@@ -113,8 +122,7 @@ def _cell_effects(batches: Batches) -> Batches:
                 if current is not None:
                     done += [current + effect for effect in effects(messages)]
                 current, messages = group, []
-            if kind != HEARTBEAT:
-                messages.append((kind, sender))
+            messages.append((kind, sender))
         yield batch_of(done)
     if current is not None:
         yield batch_of([current + effect for effect in effects(messages)])
@@ -145,17 +153,51 @@ def _cell_starts(batches: Batches) -> Batches:
 
 def _output(rows: DataFrame, kept: list[str]) -> T.StructType:
     schema = T.StructType([rows.schema[name] for name in kept])
-    return schema.add("outcome", "string").add("replaced", "string")
+    schema = schema.add("outcome", "string").add("replaced", "string")
+    for name in _AFTER:
+        schema = schema.add(name, "string")
+    return schema
+
+
+def _with_heartbeats(answered: DataFrame, beats: DataFrame, keys: list[str]) -> DataFrame:
+    """The answered messages and the heartbeats with their outcome; rows without a kind only bring a state."""
+    rows = answered.unionByName(beats, allowMissingColumns=True)
+    so_far = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col("kind").isNull().desc(), "ts", "seq")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    state = F.last(F.when(~F.col("kind").eqNullSafe(HEARTBEAT), F.struct(*_AFTER)), ignorenulls=True)
+    known = F.col("_state")
+    beat = (
+        F.when(F.col("id") == known["owner_after"], UPDATED)
+        .when(F.col("id") == known["dead_after"], RECONNECT)
+        .otherwise(IGNORED)
+    )
+    outcome = F.when(F.col("kind") == HEARTBEAT, beat).otherwise(F.col("outcome"))
+    return (
+        rows.withColumn("_state", state.over(so_far))
+        .withColumn("outcome", outcome)
+        .filter(F.col("kind").isNotNull())
+    )
 
 
 def _replay_hot(heavy: DataFrame, kept: list[str]) -> DataFrame:
     by_cell = ["address", CELL]
+    beats = heavy.filter(F.col("kind") == HEARTBEAT)
+    heavy = heavy.filter(F.col("kind") != HEARTBEAT)
     by_effect = (
         heavy.select(*by_cell, "ts", "seq", "kind", "id")
         .repartition(*by_cell)
         .sortWithinPartitions(*by_cell, "ts", "seq")
         .mapInArrow(_cell_effects, f"address string, {CELL} bigint, {_EFFECT_TYPE}")
     )
+    # Cells with heartbeats need a start too; this row names the cell and has no effect.
+    nothing = [
+        F.lit("cell" if name == "start" else None).cast("boolean" if name == "lost" else "string").alias(name)
+        for name in _EFFECT_COLUMNS
+    ]
+    by_effect = by_effect.unionByName(beats.select(*by_cell).distinct().select(*by_cell, *nothing))
     starts = (
         by_effect.repartition("address")
         .sortWithinPartitions(*by_cell)
@@ -164,12 +206,19 @@ def _replay_hot(heavy: DataFrame, kept: list[str]) -> DataFrame:
         )
     )
     rows = with_carry(heavy, starts)
-    return (
+    kept_cell = [*kept, CELL]
+    answered = (
         rows.repartition(*by_cell)
         .sortWithinPartitions(*by_cell, F.col(IS_CARRY).desc(), "ts", "seq")
-        .mapInArrow(_answered(by_cell, kept, resumes=True), _output(rows, kept))
+        .mapInArrow(_answered(by_cell, kept_cell, resumes=True), _output(rows, kept_cell))
         .filter(F.col("outcome").isNotNull())
     )
+    carried = starts.select(
+        "address", CELL, F.col("owner").alias("owner_after"), F.col("dead").alias("dead_after")
+    )
+    return _with_heartbeats(
+        answered.unionByName(carried, allowMissingColumns=True), beats, by_cell
+    )
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -183,11 +232,15 @@ def replay(log: DataFrame) -> DataFrame:
     log = log.select(*kept)
     ordinary, heavy = split_hot(log, "address", epoch_micros(log, "ts"))
     folded = (
-        ordinary.repartition("address")
+        ordinary.filter(F.col("kind") != HEARTBEAT)
+        .repartition("address")
         .sortWithinPartitions("address", "ts", "seq")
         .mapInArrow(_answered(["address"], kept, resumes=False), _output(log, kept))
     )
-    return folded.unionByName(_replay_hot(heavy, kept))
+    beats = ordinary.filter(F.col("kind") == HEARTBEAT)
+    columns = [*kept, "outcome", "replaced"]
+    plain = _with_heartbeats(folded, beats, ["address"]).select(*columns)
+    return plain.unionByName(_replay_hot(heavy, kept).select(*columns))
 
 
 def replay_registry(log: DataFrame) -> DataFrame:
@@ -212,7 +265,7 @@ def replay_registry(log: DataFrame) -> DataFrame:
         return F.max_by(F.when(chosen, row), F.when(chosen, at))
 
     per_address = (
-        replay(log)
+        replay(log.filter(F.col("kind") != HEARTBEAT))
         .filter(F.col("outcome").isin(wanted))
         .withColumn("nth", F.row_number().over(newest))
         .filter(F.col("nth") <= 2)

@@ -3,10 +3,12 @@ from __future__ import annotations
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from conftest import SMALL
 from logs import WholeLog, log, random_rows, split
 
 from rollcall.functions.ownership import NO_OWNER, answer, apply_effects, effects
 from rollcall.operators import registry, replay
+from rollcall.sources import message_log, table
 
 HEARTBEAT, LOST, REGISTER = "heartbeat", "lost", "register"
 ALL = (REGISTER, HEARTBEAT, LOST)
@@ -95,3 +97,19 @@ def test_further_columns_are_kept(spark):
     made = made.selectExpr("*", "seq * 100 AS memory")
     rows = {row.id: (row.state, row.memory) for row in replay.replay_registry(made).collect()}
     assert rows == {"a": ("DEAD", 0), "b": ("ALIVE", 200)}
+
+
+def test_no_heartbeat_reaches_python(spark):
+    events = table(spark, SMALL, "events")
+    for job in (replay.replay, replay.replay_registry):
+        frame = job(message_log(events))
+        tree = frame._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        for at, line in enumerate(tree):
+            if "MapInArrow" in line or "MapInPandas" in line:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                below = []
+                for later in tree[at + 1 :]:
+                    if len(later) - len(later.lstrip(" :+-")) <= depth:
+                        break
+                    below.append(later)
+                assert any("heartbeat" in x or "_cell_effects" in x or "_cell_starts" in x for x in below), line
