@@ -4,7 +4,7 @@ from datetime import timedelta
 from types import SimpleNamespace
 
 import pytest
-from logs import LOG_TYPE, WholeLog, at, log, random_rows, split
+from logs import LOG_TYPE, WholeLog, at, log, random_rows
 from pyspark.sql import functions as F
 
 from conftest import SMALL
