@@ -164,6 +164,9 @@ def exact_pairs(sets: list[np.ndarray], parts: np.ndarray, blocks: np.ndarray, p
     starts = np.searchsorted(heads_of, np.arange(len(sets) + 1))
     by_token = np.argsort(heads, kind="stable")
     sorted_heads, sorted_owners = heads[by_token], heads_of[by_token]
+    holders = owners[np.argsort(ranks, kind="stable")]
+    first_holder = np.searchsorted(np.sort(ranks), np.arange(len(tokens) + 1))
+    firsts = np.cumsum(sizes) - sizes
     values, part_counts = np.unique(parts, return_counts=True)
     largest, two = values[part_counts.argmax()], len(np.unique(blocks)) > 1
     found = []
@@ -175,10 +178,15 @@ def exact_pairs(sets: list[np.ndarray], parts: np.ndarray, blocks: np.ndarray, p
         if two:
             near = near[blocks[near] != blocks[i]]
         small, big = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
-        for j in near[100 * small >= percent * big]:
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                found.append((i, j))
+        near = near[100 * small >= percent * big]
+        if not len(near):
+            continue
+        # What the whole set has in common with every other, from the holders of its tokens.
+        own = ranks[firsts[i] : firsts[i] + sizes[i]]
+        low, many = first_holder[own], first_holder[own + 1] - first_holder[own]
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(holders[at], minlength=len(sets))[near]
+        found += [(i, j) for j in near[100 * common >= percent * (sizes[i] + sizes[near] - common)].tolist()]
     return found
 
 
