@@ -16,10 +16,13 @@ its items have; the other words of a text only lengthen its vectors.
    leak at all, by the longest common subsequence of words
    within a little more than the window. ``share`` of the item's words, in order, is a leak; so
    is ``share_with_answer``, if the words of the item's answer (its last sentence or line) stand
-   together in it.
+   together in it. Either has ``matched`` words at least. Shorter items leak only where all their words stand
+   together, and one or two words only into a text of nothing else.
+4. Exact passages do not depend on the cosine: each place of an item's rarest term is a candidate, too, if the
+   item's words stand around it.
 
 Items beyond ``BLOCK`` are searched in blocks, a second pass for each. Items longer than ``SEGMENT``
-words are searched by segments.
+words are searched by segments of near-equal length.
 """
 
 from __future__ import annotations
@@ -47,13 +50,15 @@ class Limits:
     """When a window is a candidate, and when a candidate is a leak.
 
     A window of a short item holds more other words than item words, so for items under ``long`` words
-    the cosine limit shrinks with the square of their length.
+    the cosine limit shrinks with the square of their length. It is at most ``share_with_answer`` of the cosine
+    that the item's own words have in a window whose other words are unlike them.
     """
 
     cosine: float = 0.38
     long: int = 32
     share: float = 0.8
     share_with_answer: float = 0.6
+    matched: int = 8
 
 
 @dataclass(frozen=True)
@@ -75,9 +80,10 @@ def queries_of(items: list[tuple[int, str | None]]) -> list[Query]:
     for item, text in items:
         words = _hashes(text or "")
         parts = [p for p in (_hashes(x) for x in re.split(r"(?<=[.?!])\s+|\n", text or "")) if len(p) > 2]
-        for start in range(0, len(words), SEGMENT):
-            last = start + SEGMENT >= len(words)
-            found.append(Query(item, words[start : start + SEGMENT], parts[-1] if last and len(parts) > 1 else ()))
+        count = -(-len(words) // SEGMENT)
+        cuts = [len(words) * k // count for k in range(count + 1)] if count else []
+        for start, end in zip(cuts, cuts[1:]):
+            found.append(Query(item, words[start:end], parts[-1] if end == len(words) and len(parts) > 1 else ()))
     return found
 
 
@@ -189,12 +195,13 @@ class Search:
     def __post_init__(self) -> None:
         norms = np.linalg.norm(self.vectors, axis=1)
         self.other = float(np.median(norms) ** 2)  # what a word outside the terms adds to a squared length
-        groups, owners, self.needs, self.masks = {}, [], [], []
+        groups, owners, n_terms, self.needs, self.masks = {}, [], [], [], []
         targets = np.zeros((len(self.queries), self.vectors.shape[1]), np.float32)
         for at, q in enumerate(self.queries):
             groups.setdefault(-(-(len(q.words) + CHUNK - 1) // CHUNK), []).append(at)
             held = self.terms.of(np.array(q.words, np.uint64))[1]
             targets[at] = self.vectors[held].sum(axis=0)
+            n_terms.append(len(held))
             owners += [(term, at) for term in set(held.tolist())]
             # A leak has so many of the item's words; those that are no terms may be among them.
             self.needs.append(max(math.ceil(self.limits.share_with_answer * len(q.words)) - (len(q.words) - len(held)), 0))
@@ -202,16 +209,44 @@ class Search:
             for bit, word in enumerate(q.words):
                 masks[word] = masks.get(word, 0) | 1 << bit
             self.masks.append(masks)
-        targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
+        norms = np.linalg.norm(targets, axis=1)
+        targets /= np.maximum(norms, 1e-12)[:, None]
         self.groups = {chunks: (np.array(at), np.ascontiguousarray(targets[at].T)) for chunks, at in sorted(groups.items())}
+        self.place = {int(q): (chunks, column) for chunks, (members, _) in self.groups.items() for column, q in enumerate(members)}
         owners = np.array(sorted(owners), np.int64).reshape(-1, 2)
         self.owners, self.first_owner = owners[:, 1], np.searchsorted(owners[:, 0], np.arange(len(self.terms.known) + 1))
         self.needs = np.array(self.needs)
         lengths = np.array([len(q.words) for q in self.queries])
-        self.least = (self.limits.cosine * np.minimum(1, lengths / self.limits.long) ** 2).astype(np.float32)
+        windows = -(-(lengths + CHUNK - 1) // CHUNK) * CHUNK
+        own = norms / np.sqrt(np.maximum(norms**2 + self.other * (windows - np.array(n_terms)), 1e-12))
+        least = np.minimum(self.limits.cosine * np.minimum(1, lengths / self.limits.long) ** 2, self.limits.share_with_answer * own)
+        self.least = least.astype(np.float32)
+        # Of each query the term that fewest queries have, and where it stands: sorted by term.
+        shared, anchors = np.diff(self.first_owner), []
+        for at, q in enumerate(self.queries):
+            where, which = self.terms.of(np.array(q.words, np.uint64))
+            k = int(shared[which].argmin())
+            anchors.append((int(which[k]), at, int(where[k])))
+        anchors = np.array(sorted(anchors), np.int64).reshape(-1, 3)
+        self.anchors, self.first_anchor = anchors[:, 1:], np.searchsorted(anchors[:, 0], np.arange(len(self.terms.known) + 1))
+        self.lengths, self.ends = lengths, np.array([[q.words[0], q.words[-1]] for q in self.queries], np.uint64)
+
+    def exact(self, words: W.Words, where: np.ndarray, which: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query, text, place) where a query's words stand together, from the places of terms and their texts."""
+        repeats = self.first_anchor[which + 1] - self.first_anchor[which]
+        ends = np.cumsum(repeats)
+        rows = np.repeat(self.first_anchor[which] - (ends - repeats), repeats) + np.arange(ends[-1])
+        numbers, offsets = self.anchors[rows].T
+        text, first = np.repeat(owner, repeats), np.repeat(where, repeats) - offsets
+        last = first + self.lengths[numbers] - 1
+        good = np.flatnonzero((first >= words.bounds[text]) & (last < words.bounds[text + 1]))
+        for side, at in enumerate((first, last)):
+            good = good[words.hashes[at[good]] == self.ends[numbers[good], side]]
+        found = zip(numbers[good].tolist(), text[good].tolist(), first[good].tolist(), strict=True)
+        return [(q, t, at - int(words.bounds[t])) for q, t, at in found if tuple(words.hashes[at : at + self.lengths[q]].tolist()) == self.queries[q].words]
 
     def candidates(self, words: W.Words) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, window start, window words, query, cosine) over the cosine limit with terms enough."""
+        """(text, window start, window words, query, cosine) over the cosine limit with terms enough, and of exact passages."""
         sizes = np.diff(words.bounds)
         counts = -(-sizes // CHUNK)
         firsts = np.cumsum(counts) - counts
@@ -233,13 +268,20 @@ class Search:
         at = np.repeat(self.first_owner[which] - (ends - repeats), repeats) + np.arange(ends[-1])
         hits = np.sort(self.owners[at] * (total + 1) + np.repeat(chunk, repeats))
         last = (firsts + counts)[text_of]
+        exact: dict[int, list[tuple[int, int]]] = {}
+        for number, text, at in self.exact(words, where, which, owner):
+            chunks, column = self.place[number]
+            exact.setdefault(chunks, []).append((int(firsts[text]) + at // CHUNK, column))
         for chunks, (members, targets) in self.groups.items():
             stop = np.minimum(np.arange(total) + chunks, last)
             vectors = (running[stop] - running[:-1]).astype(np.float32)
             length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors) + self.other * (others[stop] - others[:-1]))
             vectors /= np.maximum(length, 1e-9)[:, None].astype(np.float32)
             cosines = vectors @ targets
-            rows, columns = np.nonzero(cosines >= self.least[members])
+            over = cosines >= self.least[members]
+            if chunks in exact:
+                over[tuple(np.array(exact[chunks]).T)] = True
+            rows, columns = np.nonzero(over)
             numbers = members[columns]
             base = numbers * (total + 1)
             found = np.searchsorted(hits, base + stop[rows]) - np.searchsorted(hits, base + rows)
@@ -262,6 +304,10 @@ class Search:
                 continue
             common = common_words(self.masks[at], len(query.words), window)
             share = common / len(query.words)
+            if common < self.limits.matched:
+                alone = len(query.words) > 2 or int(words.bounds[text + 1] - words.bounds[text]) == len(query.words)
+                if common < len(query.words) or not alone or not _together(query.words, window):
+                    continue
             if share >= self.limits.share or (share >= self.limits.share_with_answer and query.answer and _together(query.answer, window)):
                 found = (common, -low, text, query.item, low, high, common, len(query.words), cosine)
                 if (text, query.item) not in best or found > best[text, query.item]:

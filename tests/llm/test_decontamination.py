@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import MEDIUM
 
-from rollcall.llm.decontamination import common_words, decontaminated, leaks, queries_of
+from rollcall.llm.decontamination import Limits, Search, Terms, common_words, decontaminated, leaks, queries_of
 from rollcall.llm.queries import op1_decontamination
+from rollcall.llm.words import ALPHANUMERIC, LOWER, split_words
 from rollcall.sources import table
 
 SCHEMA = "doc_id long, text string, item_id string, cosine int"
@@ -84,6 +87,36 @@ def test_planted_paraphrases(spark, corpus):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] is None or r[0] not in {k for k, _ in planted})
 
 
+def test_short_tails_and_short_items(spark):
+    spelled = lambda n: [f"item{n}word{k}" for k in range(n)]
+    items = [(n, " ".join(spelled(n)), 1) for n in (1, 2, 3, 5, 129, 130, 136, 257)]
+    assert all(len(q.words) >= 64 for q in queries_of([i[:2] for i in items[4:]]))
+    assert [w for q in queries_of([items[7][:2]]) for w in q.words] == list(queries_of([(0, " ".join(spelled(257)[:128]))])[0].words) + [
+        w for part in (spelled(257)[128:256], spelled(257)[256:]) for w in queries_of([(0, " ".join(part))])[0].words
+    ]
+    plain = [f"plain{k}" for k in range(60)]
+    rows = [(n, " ".join(plain + spelled(n)[-m:] + plain), "x", 1) for n, m in ((1, 1), (2, 2), (129, 1), (130, 2), (136, 8), (257, 1))]
+    rows += [(1000 + n, " ".join(plain + spelled(n) + plain), "x", 1) for n in (3, 5, 129, 257)]
+    rows += [(2003, " ".join([*plain, *spelled(3)[:2], "and", spelled(3)[2], *plain]), "x", 1), (2005, " ".join(plain + spelled(5)[:4]), "x", 1), (2001, "item1word0", "x", 1)]
+    found = leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1003, 3), (1005, 5), (1129, 129), (1257, 257), (2001, 1)}
+
+
+def test_exact_passages_of_few_terms():
+    """Two words of its own among a hundred that all items have: the cosine is near sqrt(T/W), under the general limit."""
+    draw = random.Random(5)
+    common = [f"common{k}" for k in range(100)]
+    items = [(i, " ".join([*draw.sample(common, 50), f"own{i}a", *draw.sample(common, 50), f"own{i}b"])) for i in range(60)]
+    queries = queries_of(items)
+    terms = Terms(queries)
+    search = Search(queries, terms, np.eye(len(terms.known), dtype=np.float32), Limits())
+    for i, text in items:
+        # other items' terms around it, so that its own are a small part of each window
+        others = " ".join(f"own{draw.randrange(60)}a" for _ in range(40))
+        words = split_words(pa.array(["x y", f"{others} {text} {others}"], pa.large_string()), ALPHANUMERIC, LOWER)
+        assert (1, i, 102) in {(r[0], r[1], r[4]) for r in search.leaks(words)}
+
+
 def test_empty_tables(spark, corpus):
     documents, benchmark = spark.createDataFrame(corpus[0][:5], SCHEMA), spark.createDataFrame(corpus[1], ITEMS)
     assert leaks(documents.limit(0), benchmark).count() == 0
