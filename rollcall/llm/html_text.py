@@ -39,6 +39,13 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption cap
 BREAKING = PROSE | ROOTS | LEFT_OUT | frozenset(
     "html body div section header hgroup ul ol li dl table thead tbody tfoot tr figure address details summary hr br center".split()
 ) - frozenset("label input button".split())
+#: Elements whose end tag may be left out, with what holds them: within another of these a like element is no sibling.
+HOLDERS = {"p": frozenset(), "li": frozenset(("ul", "ol", "menu"))} | dict.fromkeys(("dd", "dt"), frozenset(("dl",)))
+HOLDERS |= dict.fromkeys("td th tr thead tbody tfoot".split(), frozenset(("table",)))
+#: The start tags that end such an element.
+_GROUPS = frozenset(("thead", "tbody", "tfoot"))
+NEXT = {"p": BREAKING - RAW - frozenset("br html head body".split()), "li": frozenset(("li",)), "tr": _GROUPS | {"tr"}} | dict.fromkeys(("dd", "dt"), frozenset(("dd", "dt")))
+NEXT |= dict.fromkeys(("td", "th"), _GROUPS | {"td", "th", "tr"}) | dict.fromkeys(_GROUPS, _GROUPS)
 #: Words of class, id and role that mark what is not main text.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter "
@@ -56,12 +63,33 @@ def _furniture(attributes: str) -> bool:
     return False
 
 
+def _ended(element: str, inner: list[str], name: str, closing: bool, empty: bool) -> bool:
+    """Whether a tag ends an element whose end tag may be left out: its own end tag, a next sibling, or the end of an ancestor.
+
+    ``inner`` are the open elements within it, and is kept up to date.
+    """
+    if not closing:
+        if name in NEXT[element] and HOLDERS[element].isdisjoint(inner):
+            return True
+        if name in BREAKING and name not in VOID | RAW and name not in HOLDERS and not empty:
+            inner.append(name)
+        return False
+    if name in inner:
+        while inner.pop() != name:
+            pass
+        return False
+    if name in HOLDERS:
+        return name == element == "p" or (name != "p" and HOLDERS[name].isdisjoint(inner))
+    return name in BREAKING and name not in VOID | RAW
+
+
 def blocks(page: str) -> list[tuple[str, bool]]:
     """(text, open) of the page's blocks in order. Malformed markup is read as far as it goes."""
     rooted = bool(re.search(r"<(?:article|main)\b|\brole\s*=\s*[\"']?main\b", page, re.I))
     found: list[tuple[str, bool]] = []
     parts: list[str] = []
     prose, roots, outside, depth = False, 0, "", 0
+    inner: list[str] = []
 
     def end_block() -> None:
         if parts:
@@ -83,8 +111,13 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             continue
         closing, attributes = tag[1] == "/", tag[3] or ""
         if outside:
-            # Inside what is left out, only its own element's tags count, and an article that starts after all.
-            if name == outside and name not in VOID:
+            # Inside what is left out, only its own element's tags count, and an article that starts after all; where its
+            # end tag may be left out, so do the next sibling and the end of an ancestor.
+            own = closing and name == outside
+            if outside in NEXT:
+                if (name in ROOTS and not closing and not roots) or _ended(outside, inner, name, closing, attributes.endswith("/")):
+                    outside = ""
+            elif name == outside and name not in VOID:
                 depth += -1 if closing else 0 if attributes.endswith("/") else 1
                 outside = outside if depth > 0 else ""
             elif name in ROOTS and not closing and not roots:
@@ -93,7 +126,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 if name in RAW and not closing and name != outside:
                     at = _after(page, name, at)
                 continue
-            if closing:
+            if own:
                 continue
         if name in BREAKING:
             end_block()
@@ -110,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if name in LEFT_OUT or (name == "header" and not roots) or (attributes and name not in ("html", "body") and _furniture(attributes)):
             end_block()
             if name not in VOID and not attributes.endswith("/"):
-                outside, depth = name, 1
+                outside, depth, inner = name, 1, []
             continue
         if name in ROOTS or (attributes and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I)):
             end_block()

@@ -62,6 +62,17 @@ def test_blocks():
     assert blocks("<article>" + "<div>" * 20_000 + "x " * 100_000) == [(" ".join("x" * 100_000), True)]
 
 
+def test_furniture_without_end_tags():
+    texts = lambda page: [t for t, _ in blocks(page)]
+    assert texts("<article><p class=ad>buy <b>now<script>x</script> or never<p>One<p>Two</article><p>out") == ["One", "Two"]
+    assert texts("<article><div><p class=ad>buy</div>One<p>Two</p></article>") == ["One", "Two"]
+    assert texts("<article><ul><li class=share>send<ul><li>x<li>y</ul><p>z</p>more<li>One<li>Two</ul><p>Three</article>") == ["One", "Two", "Three"]
+    assert texts("<article><ul><li>One<li class=share><div>send</div></ul><p>Two</article>") == ["One", "Two"]
+    assert texts("<article><dl><dt class=ad>a<dd>One<dt>Two<dd class=promo>b</dl>Three</article>") == ["One", "Two", "Three"]
+    assert texts("<article><table><tr><td class=ad>a<table><tr><td>b</table>c<td>One<tr class=ad><td>d<tr><td>Two</table><p>Three</article>") == ["One", "Two", "Three"]
+    assert texts("<article><p class=ad>buy</p>One<ul><li class=share>s</li><li>Two</ul></article>") == ["One", "Two"]
+
+
 def test_common_lines():
     draw = random.Random(6)
     for _ in range(100):
