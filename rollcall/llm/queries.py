@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import classifier, decontamination, html_text, licenses, near_dups, pii, quality_rules, substring_dups, warc
+from rollcall.llm import classifier, decontamination, fill_in_middle, hard_negatives, html_text, licenses, near_dups, pii, quality_rules, substring_dups, token_planes, warc
 from rollcall.llm.packing import Limits, pack_documents
 from rollcall.sources.tables import table
 
@@ -66,6 +66,29 @@ def op10_substring_dups(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dups.repeated_passages(table(spark, folder, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut and rearranged for filling in the middle, and made whole again."""
+    found = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    whole = fill_in_middle.restored(F.col("output"), F.col("form"))
+    sha256 = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha256(F.col("output")).alias("output_sha256"), sha256(whole).alias("restored_sha256")
+    )
+
+
+def op12_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents written in ascending order as compressed planes, and read back."""
+    planes = warc.archive_folder(spark)
+    found = token_planes.read(token_planes.write(table(spark, folder, "documents"), planes), planes)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth id, against all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator."""
     return {
@@ -79,4 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_substring_dups": op10_substring_dups,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_token_planes": op12_token_planes,
+        "op13_hard_negatives": op13_hard_negatives,
     }
