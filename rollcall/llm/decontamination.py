@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import words as W
+from rollcall.llm.tables import short, spare, stored
 
 PASSAGE, CHUNK, SEGMENT, MARGIN = 64, 12, 128, 8
 BLOCK = 5_000
@@ -333,7 +334,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
         return result
     terms = Terms(queries)
     vectors = latent_terms(documents, terms, text=text)
-    frame = documents.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    frame = documents.select(F.col(key), F.col(text).cast("string").alias("text"))
 
     def searcher(block: list[Query]):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,8 +357,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that leak an item, with all their columns. Rows with a null key stay."""
-    from rollcall.llm.tables import stored
+    """The documents without those that leak an item, with all their columns.
 
-    found = stored(leaks(documents, benchmark, limits, key, text).select(F.col(key).alias("_leaking")).distinct(), "leaking")
-    return documents.join(found, F.col(key) == F.col("_leaking"), "left_anti")
+    Rows with a null key, and with null, empty or wordless texts, stay. Rows that repeat a key go if one of them leaks. Columns of
+    any name pass through; an empty table gives no rows, and an empty benchmark drops none.
+    """
+    name = spare(documents, "leaking")
+    found = stored(leaks(documents, benchmark, limits, key, text).select(F.col(key).alias(name)).distinct(), "leaking")
+    return documents.join(short(found), F.col(key) == F.col(name), "left_anti")

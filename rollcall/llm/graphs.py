@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.tables import stored
+from rollcall.llm.tables import kept, scratch, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        near = _both_ways(edges)
-        least = stored(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "nearest")
-        large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "large-stars")
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "nearest")
-        joined = large.join(least, "a")
-        small = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = stored(small.distinct(), "edges")
+        with scratch(links.sparkSession):
+            near = _both_ways(edges)
+            least = stored(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "nearest")
+            large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = stored(large, "large-stars")
+            least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "nearest")
+            joined = large.join(least, "a")
+            small = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+            edges = kept(small.distinct(), "edges")
         after = _state(edges)
         if after == before:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rollcall.llm import words as W
 from rollcall.llm.graphs import components
 from rollcall.llm.groups import whole_groups
-from rollcall.llm.tables import stored
+from rollcall.llm.tables import kept, scratch, short, spare, stored
 
 BINS, BAND = 128, 4
 #: Sets and set elements in a block of a cluster.
@@ -213,14 +213,8 @@ def _joined_cells(cells: DataFrame, length: int, percent: int) -> DataFrame:
     return cells.mapInArrow(join, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``documents``.
-
-    ``component_id`` is the smallest id reachable over links, ``kept`` whether it is the row's own.
-    Null or wordless texts have an empty set and are linked with nothing. A null id is linked with nothing
-    either and kept. Rows with one id are one node: links of any of them count, and equal rows get equal
-    results. Ids are compared as long. Other columns are not read; an empty table gives no rows.
-    """
+def _grouped(documents: DataFrame, length: int, percent: int, key: str, text: str) -> DataFrame:
+    """The rows of :func:`near_duplicates`, still to be computed from stored tables."""
     rows = stored(sketches(documents, length, key, text), "sketches")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = stored(
@@ -267,7 +261,33 @@ def near_duplicates(documents: DataFrame, length: int = 5, percent: int = 80, ke
     )
 
 
+def near_duplicates(documents: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``documents``.
+
+    ``component_id`` is the smallest id reachable over links, ``kept`` whether it is the row's own.
+    Null or wordless texts have an empty set and are linked with nothing. A null id is linked with nothing
+    either and kept. Rows with one id are one node: links of any of them count, and equal rows get equal
+    results. Ids are compared as long. Other columns are not read; an empty table gives no rows.
+    """
+    with scratch(documents.sparkSession):
+        return kept(_grouped(documents, length, percent, key, text), "near-duplicates")
+
+
 def deduplicated(documents: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of which :func:`near_duplicates` keeps one for each group, with all their columns."""
-    dropped = near_duplicates(documents, length, percent, key, text).where("not kept").select(F.col("doc_id").alias("dropped")).distinct()
-    return documents.join(stored(dropped, "dropped"), F.col(key).cast("long") == F.col("dropped"), "left_anti")
+    """The documents of which :func:`near_duplicates` keeps one for each group, with all their columns.
+
+    Of rows that repeat a key one stays, whatever their other columns hold. Rows with a null key, and with null, empty or
+    wordless texts, have no group and all stay but for repeated keys. Columns of any name pass through; an empty table gives no rows.
+    """
+    spark, name = documents.sparkSession, spare(documents, "listed")
+    ids = F.col(key).cast("long")
+    with scratch(spark):
+        rows = near_duplicates(documents, length, percent, key, text)
+        dropped = kept(rows.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+        repeated = kept(rows.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "repeated")
+    left = documents.join(short(dropped), ids == F.col(name), "left_anti")
+    if repeated.isEmpty():
+        return left
+    repeated = short(repeated)
+    first = left.join(repeated, ids == F.col(name), "left_semi").dropDuplicates([key])
+    return left.join(repeated, ids == F.col(name), "left_anti").unionByName(first)

@@ -29,7 +29,7 @@ WITH d AS (
     FROM win JOIN twice USING (rid, run), (SELECT unnest([0, 1, 2, 3, 4]) AS k) ks
   ) x GROUP BY rid
 ), body AS (
-  SELECT rid, arg_min(run, (-length(run), pos)) AS b FROM win WHERE run IS NOT NULL GROUP BY rid
+  SELECT rid, min(md5(run)) AS b FROM win WHERE run IS NOT NULL GROUP BY rid
 ), counts AS (
   SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM u GROUP BY rid
 ), lines AS (
@@ -43,7 +43,7 @@ WITH d AS (
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n FROM spoken GROUP BY rid
 ), identity AS (
-  SELECT d.rid, d.source, coalesce(b, array_to_string(ws, ' ')) AS b
+  SELECT d.rid, d.source, coalesce(b, md5(coalesce(array_to_string(ws, ' '), ''))) AS b
   FROM d JOIN w USING (rid) LEFT JOIN body USING (rid)
 ), hosts AS (
   SELECT source, count(DISTINCT b) AS of_host FROM identity GROUP BY source

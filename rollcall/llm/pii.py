@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.tables import row_print, spare, stored
+from rollcall.llm.tables import kept, row_print, scratch, short, spare, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -273,13 +273,15 @@ def _rewritten(text: Column, spans: Column) -> Column:
 def sanitised(documents: DataFrame, rule: Disclosure = Disclosure(), key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
     """The documents with personal data generalised, disclosing terms generalised or removed, and all their columns.
 
-    ``size``, if there is such a column, is set to the new number of code points of changed texts.
+    ``size``, if there is such a column, is set to the new number of code points of changed texts. Null and empty texts
+    stay as they are, and so do null keys; repeated rows are changed alike. Columns of any name pass through; an empty table gives no rows.
     """
-    spans = found(documents, rule, key, text).where(F.size("all_spans") > 0).select("print_0", "print_1", "all_spans").dropDuplicates(["print_0", "print_1"])
     first, second, at = (spare(documents, x) for x in ("print_0", "print_1", "all_spans"))
-    spans = stored(spans, "spans").toDF(first, second, at)
+    with scratch(documents.sparkSession):
+        spans = found(documents, rule, key, text).where(F.size("all_spans") > 0).select("print_0", "print_1", "all_spans").dropDuplicates(["print_0", "print_1"])
+        spans = kept(spans.toDF(first, second, at), "spans")
     prints = row_print(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    joined = documents.withColumns({first: prints[0], second: prints[1]}).join(spans, [first, second], "left")
+    joined = documents.withColumns({first: prints[0], second: prints[1]}).join(short(spans, F.size(at)), [first, second], "left")
     joined = joined.withColumn(text, F.when(F.col(at).isNotNull(), _rewritten(F.col(text), F.col(at))).otherwise(F.col(text)))
     if size in documents.columns:
         joined = joined.withColumn(size, F.when(F.col(at).isNotNull(), F.length(text)).otherwise(F.col(size)).cast(documents.schema[size].dataType))

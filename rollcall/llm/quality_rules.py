@@ -8,9 +8,10 @@ Words are runs of ``[^\x20\x09-\x0D]``; lines are split at ``\n``. A line is nor
 lower-casing A-Z, writing runs of digits as 0 and runs of white space as one space, and
 trimming.
 
-Copies are not the matter of this rule: documents of one host that have the same longest
-run of five words count as one document, so a text that was copied or lightly
-edited thousands of times does not make its own lines frequent.
+Copies are not the matter of this rule: documents of one host whose runs of five words have the same smallest
+MD5 digest count as one document, so a text that was copied or lightly edited thousands of
+times does not make its own lines frequent. Which run that is does not depend on how long or common it is, so a
+line takes part in it by no more than its share of a document's runs, and can't hide its own frequency.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.tables import row_print, spare, stored
+from rollcall.llm.tables import kept, row_print, scratch, short, spare, stored
 
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -84,11 +85,11 @@ def measured(documents: DataFrame, key: str = "doc_id", text: str = "text", host
                 F.size(F.array_distinct(runs)) < F.size(runs),
                 F.array_sort(F.transform(runs, lambda x, i: F.struct(x.alias("hash"), i.alias("place")))),
             ),
-            "spans": F.transform(places, lambda i: sum((sizes[i + k] for k in range(1, RUN)), sizes[i])),
+            "body": F.when(
+                F.size(words) >= RUN, F.array_min(F.transform(places, lambda i: F.md5(F.concat_ws(" ", *[words[i + k] for k in range(RUN)]).cast("binary"))))
+            ).otherwise(F.md5(F.concat_ws(" ", words).cast("binary"))),
         }
     )
-    spans = F.col("spans")
-    longest = F.when(F.size(spans) > 0, F.slice(words, F.array_position(spans, F.array_max(spans)).cast("int"), RUN)).otherwise(words)
     rows = rows.withColumn("again", F.when(F.col("places").isNotNull(), _repeated(F.col("places"))))
     again = F.col("again")
     repeated = F.when(
@@ -108,7 +109,7 @@ def measured(documents: DataFrame, key: str = "doc_id", text: str = "text", host
         repeated.cast("long").alias("n_repeat_words"),
         *row_print(F.col("key"), F.col("host"), F.col("text")),
         F.xxhash64(F.col("host").isNull(), "host").alias("host_hash"),
-        F.xxhash64(F.concat_ws(" ", longest)).alias("body"),
+        "body",
         F.transform(
             lines,
             lambda x: F.struct(F.xxhash64(F.col("host").isNull(), F.col("host"), normal_line(x)).alias("line"), _words_in(x).alias("words")),
@@ -169,13 +170,19 @@ def assessed(documents: DataFrame, rule: LineRule = LineRule(), key: str = "doc_
 def filtered(documents: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id", text: str = "text", host: str = "source", size: str = "n_chars") -> DataFrame:
     """The kept documents without their frequent lines, with the columns they came with.
 
-    ``size``, if there is such a column, is set to the new number of code points.
+    ``size``, if there is such a column, is set to the new number of code points. Null, empty and short texts go, by the base
+    rules; repeated rows go or stay together; rows with a null key or host are judged like any other. Columns of any name pass through;
+    an empty table gives no rows.
     """
-    verdicts = assessed(documents, rule, key, text, host).where("kept").select("print_0", "print_1", "removed_lines").dropDuplicates(["print_0", "print_1"])
     first, second, cut = (spare(documents, x) for x in ("print_0", "print_1", "removed_lines"))
-    verdicts = verdicts.toDF(first, second, cut)
+    with scratch(documents.sparkSession):
+        verdicts = assessed(documents, rule, key, text, host).select("print_0", "print_1", "kept", "removed_lines")
+        verdicts = stored(verdicts.where("not kept or size(removed_lines) > 0").dropDuplicates(["print_0", "print_1"]), "verdicts")
+        gone = kept(verdicts.where("not kept").select(F.col("print_0").alias(first), F.col("print_1").alias(second)), "rejected")
+        changed = kept(verdicts.where("kept").drop("kept").toDF(first, second, cut), "cut")
     prints = row_print(F.col(key), F.col(host).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    joined = documents.withColumns({first: prints[0], second: prints[1]}).join(verdicts, [first, second])
+    joined = documents.withColumns({first: prints[0], second: prints[1]})
+    joined = joined.join(short(gone), [first, second], "left_anti").join(short(changed, F.size(cut)), [first, second], "left")
     rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(cut, i)), "\n")
     joined = joined.withColumn(text, F.when(F.size(cut) > 0, rest).otherwise(F.col(text)))
     if size in documents.columns:

@@ -117,7 +117,7 @@ def from_planes(planes: list[bytes], count: int, bits: int) -> np.ndarray:
     for k, plane in enumerate(planes):
         if plane:
             spread[k] = np.unpackbits(np.frombuffer(plane, np.uint8), count=count, bitorder="little")
-    return np.packbits(spread.T, axis=1, bitorder="little").view("<u4").ravel()
+    return np.ascontiguousarray(np.packbits(spread.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
 class PlaneWriter:

@@ -122,3 +122,15 @@ def test_empty_tables(spark, corpus):
     assert leaks(documents.limit(0), benchmark).count() == 0
     assert leaks(documents, benchmark.limit(0)).count() == 0
     assert queries_of([(1, "A b x. C d e!\nF g")])[0].answer == queries_of([(1, "c d e")])[0].words
+
+
+def test_clashing_names_repeated_keys_and_empty_tables(spark):
+    item = "the quick brown fox jumps over the lazy dog near the quiet river bank at dawn"
+    schema = "doc_id long, text string, _leaking int, leaking string, _text string"
+    rows = [(1, f"before {item} after", 1, "x", None), (1, "another row of the same key", 1, "x", None), (2, "nothing of that", 1, "x", None), (None, item, 1, "x", None), (3, None, None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    benchmark = spark.createDataFrame([(7, item, "z")], "item_id long, text string, leaking string")
+    found = decontaminated(frame, benchmark)
+    assert found.schema == frame.schema and sorted(str(r.doc_id) for r in found.collect()) == ["2", "3", "None"]
+    assert decontaminated(frame, benchmark.limit(0)).count() == 5
+    assert decontaminated(frame.limit(0), benchmark).count() == 0

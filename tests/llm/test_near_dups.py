@@ -73,3 +73,31 @@ def test_one_of_each_group_stays(spark):
     kept = deduplicated(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "component_id", "n_shingles"]
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "None"]
+
+
+def test_one_row_of_a_key_stays_and_names_may_clash(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    schema = "doc_id long, text string, dropped long, listed int, kept string"
+    rows = [(1, text, 1, 1, "a"), (1, text, 1, 1, "a"), (1, text + " more", 2, 2, "b"), (2, text, 1, 1, "a"), (3, "other words", 3, 3, "c"), (3, "other words", 3, 3, "c")]
+    rows += [(4, None, None, None, None), (4, None, None, None, None), (None, text, 0, 0, ""), (None, text, 0, 0, "")]
+    frame = spark.createDataFrame(rows, schema).repartition(4)
+    found = deduplicated(frame)
+    assert found.schema == frame.schema
+    assert sorted(str(r.doc_id) for r in found.collect()) == ["1", "3", "4", "None", "None"]
+    assert deduplicated(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_lists_are_joined_by_a_shuffle(spark, monkeypatch):
+    from conftest import SMALL
+
+    from rollcall.llm import tables
+    from rollcall.sources import table
+
+    documents = table(spark, SMALL, "documents")
+    few = sorted(r.doc_id for r in deduplicated(documents).collect())
+    monkeypatch.setattr(tables, "SHORT_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r.doc_id for r in deduplicated(documents).collect()) == few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -128,3 +128,12 @@ def test_disclosing_terms(spark, seed):
 def test_overlapping_spans_are_replaced_once(spark):
     frame = spark.createDataFrame([(1, "call +4222222222222 now a@1.2.3.4 end", "s", 1)], SCHEMA)
     assert sanitised(frame).first().text == "call [PHONE] now [EMAIL] end"
+
+
+def test_sanitised_empty_tables_and_clashing_names(spark):
+    schema = "doc_id long, text string, print_0 string, all_spans int, spans string, n_chars long"
+    frame = spark.createDataFrame([(1, "write to a@b.example now", "p", 1, "s", 24), (None, None, None, None, None, None), (2, "", "", 0, "", 0)], schema)
+    found = sanitised(frame)
+    assert found.schema == frame.schema
+    assert sorted((str(r.text), r.n_chars) for r in found.collect() if r.n_chars is not None) == [("", 0), ("write to [EMAIL] now", 20)]
+    assert sanitised(spark.createDataFrame([], schema)).count() == 0

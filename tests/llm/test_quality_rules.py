@@ -58,3 +58,19 @@ def test_frequent_lines_are_removed_per_host(spark):
     assert kept[3].text == body(3) and kept[3].n_chars == len(body(3)) and kept[100].text == rows[8][1]
     assert kept[220].text == rows[30][1] and kept[200].text.endswith(body(301))
     assert filtered(frame).columns == frame.columns
+
+
+def test_a_notice_does_not_hide_itself(spark):
+    notices = {"a": "unquestionably incomprehensible counterrevolutionaries misrepresented internationalization everywhere", "b": "to be or not to be so"}
+    rows = [(k, f"{body(1000 * (1 + k) + (host == 'b'))}\n{notice}", host, 0, None) for k in range(100) for host, notice in notices.items()]
+    kept = filtered(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(kept) == 200 and not any("\n" in r.text for r in kept)
+
+
+def test_clashing_names_and_an_empty_table(spark):
+    schema = "doc_id long, text string, source string, print_0 int, removed_lines string, kept boolean, n_chars int"
+    rows = [(k, f"{body(k)}\nthe same line everywhere it is", "a", 1, "x", False, 0) for k in range(6)] + [(9, None, None, 2, None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    found = filtered(frame)
+    assert found.schema == frame.schema and {r.text for r in found.collect()} == {body(k) for k in range(6)}
+    assert filtered(spark.createDataFrame([], schema)).count() == 0
