@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm import decontamination, near_dups, pii, quality_rules
 from rollcall.llm.packing import Limits, pack_documents
+from rollcall.llm.tables import removed, scratch
 from rollcall.sources import new_folder, table
 
 
@@ -47,11 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each written and read again."""
+    """The stages in order over ``documents``, each written and read again.
+
+    When a stage's output is written, its own tables and the output before it are removed.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = new_folder(spark, "pipeline")
+    folder, before = new_folder(spark, "pipeline"), []
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name.replace(' ', '-')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        removed(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
