@@ -28,14 +28,14 @@ def markup_audit(
 ) -> DataFrame:
     """Per page: offending tags, anchors, links not from the root, and the verdict; ``keep`` adds columns.
 
-    Tags are judged first, then whether all opening tags are whole (a page whose markup can't be read
-    is never allowed), then links.
+    Tags are judged first, then whether a strict parser would take the page (see ``markup.well_formed``; if
+    not, it is never allowed), then links.
     """
-    seen = pages.select("page_id", "url", *keep, markup.visible(F.col("html")).alias("_seen")).select(
+    seen = pages.select("page_id", "url", *keep, F.col("html").alias("_html"), markup.visible(F.col("html")).alias("_seen")).select(
         "page_id",
         "url",
         *keep,
-        markup.malformed(F.col("_seen")).alias("malformed"),
+        "_html",
         markup.tags(F.col("_seen")).alias("tags"),
         markup.anchors(F.col("_seen")).alias("anchor_texts"),
     )
@@ -49,16 +49,16 @@ def markup_audit(
             F.sort_array(F.array_except("tags", permitted)).alias("offending_tags"),
             F.size("anchor_texts").alias("anchors"),
             F.size(outside).alias("outside_links"),
-            "malformed",
+            "_html",
         )
         .withColumn(
             "verdict",
             F.when(F.size("offending_tags") > 0, ESCAPE_TAG)
-            .when(F.col("malformed") > 0, ESCAPE_MALFORMED)
+            .when(~markup.well_formed(F.col("_html")), ESCAPE_MALFORMED)
             .when(F.col("outside_links") > 0, ESCAPE_LINK)
             .otherwise(ALLOW),
         )
-        .drop("malformed")
+        .drop("_html")
     )
 
 

@@ -295,11 +295,36 @@ def _audit(allowed: tuple[str, ...]) -> str:
                                                      '''[^'']*''', 'Q', 'g') END AS bare
             FROM piece WHERE regexp_matches(piece, '^(?:[\w.-]+:)?[A-Za-z_]')
         ),
+        step AS (
+            SELECT page_id, pos, regexp_extract(tag, '^</?([^\s/>]+)', 1) AS name,
+                   CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END AS step
+            FROM (SELECT page_id, unnest(found) AS tag, generate_subscripts(found, 1) AS pos
+                  FROM (SELECT page_id, regexp_extract_all(html,
+                            '</?[A-Za-z_:][^<>"'']*(?:(?:"[^"<]*"|''[^''<]*'')[^<>"'']*)*>') AS found FROM clean) x) y
+            WHERE NOT ends_with(tag, '/>')
+        ),
+        placed AS (
+            SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY pos) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS level
+            FROM step
+        ),
+        turn AS (
+            SELECT *, row_number() OVER w AS place, lead(name) OVER w AS next_name, lead(step) OVER w AS next_step
+            FROM placed WINDOW w AS (PARTITION BY page_id, level ORDER BY pos)
+        ),
         broken AS (
             SELECT DISTINCT page_id FROM opener
             WHERE strpos(bare, '>') = 0
                OR NOT regexp_matches(trim(left(bare, strpos(bare, '>') - 1)) || ' ',
                                      '^[\w.:-]+(\s+[^\s=Q/]+\s*=\s*Q)*\s*/?\s*$')
+            UNION
+            SELECT page_id FROM piece WHERE NOT regexp_matches(piece, '^/?[A-Za-z_:]')
+            UNION
+            SELECT page_id FROM clean
+            WHERE strpos(regexp_replace(html, '&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);', '', 'g'), '&') > 0
+            UNION
+            SELECT page_id FROM turn
+            WHERE level < 1 OR (place % 2 = 0 AND step > 0)
+               OR (place % 2 = 1 AND (step < 0 OR next_step IS DISTINCT FROM -1 OR next_name IS DISTINCT FROM name))
         ),
         judged AS (
             SELECT *, CASE WHEN offending_tags <> '' THEN 'ESCAPE_TAG'

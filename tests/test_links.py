@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from rollcall.functions import markup
 from rollcall.operators import links
 
 PAGES = [
@@ -102,7 +105,7 @@ def test_shown_markup(spark):
 
 def test_unclosed_comments_take_linear_time(spark):
     pages = spark.createDataFrame([(1, "http://h", "<a href='/x'/>" + "<!-- " * 200_000), (2, "http://h", "<a " + "x" * 300_000)], "page_id bigint, url string, html string")
-    assert [r.verdict for r in links.markup_audit(pages).orderBy("page_id").collect()] == ["ALLOW", "ESCAPE_MALFORMED"]
+    assert [r.verdict for r in links.markup_audit(pages).orderBy("page_id").collect()] == ["ESCAPE_MALFORMED", "ESCAPE_MALFORMED"]
 
 
 def test_very_long_tags_are_read_whole(spark):
@@ -112,3 +115,63 @@ def test_very_long_tags_are_read_whole(spark):
     row = links.markup_audit(pages).first()
     assert (row.anchors, row.outside_links, row.verdict) == (1, 0, "ESCAPE_MALFORMED")
     assert links.resolve_links(pages).first().resolved == "http://h/end"
+
+
+def strictly(html):
+    """What a strict parser says of the page as the content of one element."""
+    from xml.parsers import expat
+
+    try:
+        expat.ParserCreate().Parse(f"<page>{html}</page>", True)
+        return True
+    except (expat.ExpatError, ValueError):
+        return False
+
+
+MALFORMED = [
+    "<span>unclosed", '<a href="/x"><span>t</a></span>', "</span>text", "<span>a & b</span>", "<span>a < b</span>",
+    '<span x="1" x="2">y</span>', "<span>&nbsp;</span>", "<span x='1'y='2'/>", "<span x=1/>", "<span x/>", "&#0;", "&#xD800;", "&#x110000;",
+    "<!-- a -- b -->", "<!-- a --->", "<!-- open", "<![CDATA[ open", "text ]]> more", "<?xml version='1.0'?>", "<!DOCTYPE a>", "< a/>", "</a >", "<a></a b='1'>",
+    "<span>&amp</span>", '<a href="/?x=1&y=2">t</a>', '<a href="/?x=<b">t</a>', "\x01", "<a/><", "<a>" * 3 + "</a>" * 2, "<1/>", "<a></A>", "&;", "& amp;", "<a\x0bb='1'/>", "<a b='1' b = \"2\"/>",
+    "</page><page>", "</page>", "<page>",
+]
+WELL_FORMED = [
+    "", "plain > text", "<span>a &amp; &lt; &#65; &#x41; &#9;</span>", "<a/><a></a >", '<a href="/?x=1&amp;y=2" title=\'"\'>t</a>', "<!-- <b> & - -->", "<![CDATA[ <b> & ]] > ]]>",
+    "<?php <b> & ?>", "<s:a s:href='/x'>t</s:a>", "<a\n b = '1'\t/>", "<ä ö='1'>ü</ä>", "<a b='>'>x</a>", "<a.b-c_d/>", "<span><a>x</a><span><a/></span></span>", "&quot;&apos;", "<a b='' c=''/>", "]] >", "<page></page>",
+    "<a>" * 40 + "</a>" * 40,
+]
+
+
+def test_well_formed_as_a_strict_parser_says(spark):
+    import random
+
+    assert not any(map(strictly, MALFORMED[:-3])) and all(map(strictly, WELL_FORMED))
+    draw, made = random.Random(3), []
+    parts = ["<a>", "</a>", "<span>", "</span>", "<a/>", "<a href='/x'>", '<a b="1" b="2">', "&amp;", "&", "<", ">", "text", "<!--", "-->", "--", "]]>", "<![CDATA[", "&#65;", "&x;", "'", '"', "<?p", "?>", "/"]
+    for _ in range(1500):
+        made.append("".join(draw.choice(parts) for _ in range(draw.randint(1, 7))))
+    nest = lambda depth: "".join(f"<{(n := draw.choice(['a', 'span', 'b']))}>{nest(depth - 1)}</{n}>" for _ in range(draw.randint(0, 3))) if depth else "x"
+    made += [nest(4) for _ in range(60)]
+    pages = MALFORMED[:-3] + WELL_FORMED + made
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string")
+    found = {r.page_id: r.ok for r in frame.select("page_id", markup.well_formed(F.col("html")).alias("ok")).collect()}
+    wrong = [(pages[k], ok) for k, ok in found.items() if ok != strictly(pages[k])]
+    assert not wrong, wrong[:10]
+    assert sum(found.values()) > 150
+
+
+def test_malformed_pages_are_shown_escaped(spark):
+    pages = [x for x in MALFORMED[:-3] if "DOCTYPE" not in x] + MALFORMED[-3:]
+    frame = spark.createDataFrame([(k, None, x) for k, x in enumerate(pages)], "page_id bigint, url string, html string")
+    shown = links.shown_markup(frame, "/proxy", ("a", "span", "page", "A")).collect()
+    assert {r.verdict for r in shown} == {"ESCAPE_MALFORMED", "ESCAPE_TAG"} and not any("<" in r.shown for r in shown)
+    seven = {r.verdict for r in shown if r.page_id < 7}
+    assert seven == {"ESCAPE_MALFORMED"}
+
+
+def test_deep_and_long_pages(spark):
+    deep, long = "<a>" * 300_000 + "</a>" * 300_000, "<a href='/x' title='t &amp; u'>some text</a> " * 200_000
+    pages = [deep, deep[:-4], long, long + "</a>", "<!--" + "x" * 5_000_000 + "-->", "x" * 5_000_000 + "&"]
+    frame = spark.createDataFrame([(k, None, x) for k, x in enumerate(pages)], "page_id bigint, url string, html string").repartition(6)
+    verdicts = {r.page_id: r.verdict for r in links.markup_audit(frame).collect()}
+    assert [verdicts[k] for k in range(6)] == ["ALLOW", "ESCAPE_MALFORMED"] * 3
