@@ -1,3 +1,4 @@
+from rollcall.streaming.answers import run_answers, stream_answers
 from rollcall.streaming.jobs import (
     run_alive_spans,
     run_registration_outcomes,
@@ -8,9 +9,11 @@ from rollcall.streaming.sinks import run_folded, run_updates
 
 __all__ = [
     "run_alive_spans",
+    "run_answers",
     "run_folded",
     "run_registration_outcomes",
     "run_replay",
     "run_updates",
+    "stream_answers",
     "stream_last_seen",
 ]
