@@ -17,8 +17,11 @@ from rollcall.sources import (
     table,
     table_stream,
 )
+from rollcall.sources.fleet_log import REGISTER
 from rollcall.streaming import (
     run_alive_spans,
+    run_answers,
+    run_closed_spans,
     run_registration_outcomes,
     run_replay,
     run_updates,
@@ -57,6 +60,11 @@ def _on(name: str, job: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: job(table(spark, folder, name))
 
 
+def _plain_times(rows: DataFrame) -> DataFrame:
+    """Stamps as the tables have them, without a zone."""
+    return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name, kind in rows.dtypes if kind == "timestamp"})
+
+
 def _on_stream(job: Callable[[DataFrame], DataFrame]) -> Query:
     """A query over the events as a stream, run to completion."""
     return lambda spark, folder: job(table_stream(spark, folder, "events"))
@@ -173,6 +181,11 @@ def queries() -> dict[str, Query]:
         "stream_replay": _on_stream(
             lambda events: run_replay(message_log(events))
         ),
+        "stream_answers": _on_stream(lambda events: _plain_times(run_answers(message_log(events)))),
+        "stream_registration_answers": _on_stream(
+            lambda events: _plain_times(run_answers(registrations(events).withColumn("kind", F.lit(REGISTER)))).drop("kind")
+        ),
+        "stream_closed_spans": _on_stream(lambda events: _plain_times(run_closed_spans(heartbeats(events), DAY))),
         "duration_report_events": _on(
             "events", lambda events: reports.duration_report(events, "user_id", "ts")
         ),

@@ -442,6 +442,17 @@ def oracle_sql() -> dict[str, str]:
             WITH {_LOGS}, active AS (SELECT id, ts, seq FROM hb), {_SPANS}
             SELECT * FROM spans""",
         "stream_replay": _REPLAY_ROWS,
+        # What the watermark, an hour before the latest time, has passed.
+        "stream_answers": f"""
+            SELECT seq, ts, kind, id, address, outcome FROM ({_REPLAY_ROWS}) r
+            WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+        "stream_registration_answers": f"""
+            SELECT seq, ts, id, address, outcome FROM ({_REGISTRATION_OUTCOMES}) r
+            WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events WHERE event_type = 'signup')""",
+        "stream_closed_spans": f"""
+            WITH {_LOGS}, active AS (SELECT id, ts, seq FROM hb), {_SPANS}
+            SELECT * FROM spans
+            WHERE ended_at <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM hb)""",
         "duration_report_events": _durations("events", "user_id", "ts", _short),
         "duration_report_orders": _durations("orders", "o_custkey", "o_orderdate", _short),
         "duration_report_verbose_events": _durations("events", "user_id", "ts", _long),

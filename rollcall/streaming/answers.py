@@ -1,4 +1,4 @@
-"""Answers to a stream of messages, each given as soon as no earlier message can come.
+"""Answers to a stream of messages, and spans of activity, each given as soon as nothing earlier can come.
 
 The messages of an address wait in keyed state until the watermark has passed them, and are then answered in
 ``(ts, seq)`` order by the rule of the replay. State is the owner triple and the messages younger than the watermark: it does not grow with
@@ -15,11 +15,12 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rollcall.functions.ownership import NO_OWNER, answer
+from rollcall.operators.liveness import TIMEOUT
 from rollcall.sources.workspace import new_folder
 
 DELAY = timedelta(hours=1)
@@ -77,23 +78,53 @@ def stream_answers(log: DataFrame, delay: timedelta = DELAY) -> DataFrame:
     Messages without an address or a time are passed over.
     """
     rows = log.select("seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "id", "address").where("address is not null and ts is not null")
-    rows = rows.withWatermark("ts", f"{int(delay / timedelta(milliseconds=1))} milliseconds")
+    rows = rows.withWatermark("ts", f"{_milliseconds(delay)} milliseconds")
     rows = rows.withColumn("micros", F.unix_micros("ts"))
     return rows.groupBy("address").transformWithStateInPandas(OrderedAnswers(), _ANSWERS, "append", "eventTime")
 
 
 def run_answers(log: DataFrame, delay: timedelta = DELAY, folder: str | None = None, **trigger) -> DataFrame:
-    """Run a stream over what is available now (or by another ``trigger``) and return all answers given so far.
+    """Run a stream over what is available now (or by another ``trigger``) and return all answers given so far."""
+    return run_appended(stream_answers(log, delay), "answers", folder, **trigger)
+
+
+def stream_closed_spans(beats: DataFrame, timeout: timedelta = TIMEOUT, delay: timedelta = DELAY) -> DataFrame:
+    """Spans of activity of a stream of ``id, ts``, each when it is closed: ``id, started_at, last_active, ended_at, events``; append mode.
+
+    A span is closed when the watermark reaches its end, ``timeout`` after its last heartbeat: no heartbeat that is not late can
+    join it. State is one open span of an id (or a few, while the watermark has not passed a silence), and leaves with the
+    span. Heartbeats older than the watermark are dropped, as Spark counts; those without an id or a time are passed over. Silence of
+    exactly the timeout does not end a span.
+    """
+    rows = beats.select("id", F.col("ts").cast("timestamp").alias("ts")).where("id is not null and ts is not null")
+    rows = rows.withWatermark("ts", f"{_milliseconds(delay)} milliseconds")
+    spans = rows.groupBy(F.session_window("ts", f"{_milliseconds(timeout)} milliseconds").alias("span"), "id").agg(
+        F.max("ts").alias("last_active"), F.count(F.lit(1)).alias("events")
+    )
+    return spans.select("id", F.col("span.start").alias("started_at"), "last_active", F.col("span.end").alias("ended_at"), "events")
+
+
+def run_closed_spans(beats: DataFrame, timeout: timedelta = TIMEOUT, delay: timedelta = DELAY, folder: str | None = None, **trigger) -> DataFrame:
+    """Run a stream over what is available now (or by another ``trigger``) and return all spans closed so far."""
+    return run_appended(stream_closed_spans(beats, timeout, delay), "closed-spans", folder, **trigger)
+
+
+def _milliseconds(length: timedelta) -> int:
+    return int(length / timedelta(milliseconds=1))
+
+
+def run_appended(stream: DataFrame, name: str, folder: str | None = None, **trigger) -> DataFrame:
+    """Run an append-mode stream into files and return all rows that runs in ``folder`` have given.
 
     The same ``folder`` continues where the run before stopped; the file sink counts each micro-batch's files once, so a
     batch that is run again after a loss adds nothing.
     """
-    spark = log.sparkSession
-    folder = folder or new_folder(spark, "answers")
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, name)
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS_DB)
     try:
-        writer = stream_answers(log, delay).writeStream.format("parquet").option("path", f"{folder}/answers")
+        writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows")
         query = writer.option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
         query.processAllAvailable() if trigger else query.awaitTermination()
         query.stop()
@@ -102,14 +133,9 @@ def run_answers(log: DataFrame, delay: timedelta = DELAY, folder: str | None = N
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
-    return answers_in(spark, folder)
-
-
-def answers_in(spark: SparkSession, folder: str) -> DataFrame:
-    """All answers that runs in a folder have given."""
     try:
-        return spark.read.schema(_ANSWERS).parquet(f"{folder}/answers")
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], _ANSWERS)
+            return spark.createDataFrame([], stream.schema)
         raise

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from rollcall.operators.replay import replay
 from rollcall.sources import message_log, table, table_stream
-from rollcall.streaming import run_answers
+from rollcall.streaming import run_answers, run_closed_spans, stream_closed_spans
 
 HOUR = timedelta(hours=1)
 
@@ -59,3 +59,29 @@ def test_a_trigger_by_time_gives_the_same(spark, tmp_path):
     found = run_answers(stream, timedelta(seconds=1), processingTime="0 seconds")
     assert [x[2] for x in told(found)] == WholeLog(rows).outcomes
     assert found.where(F.col("ts") >= F.lit(at(10**6))).isEmpty()
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_closed_spans_equal_the_batch_for_any_cut(spark, tmp_path, files):
+    rows = [(s, "heartbeat", n, "h") for n, times in {"a": (0, 60, 121, 181, 600), "b": (30, 90, 151, 900), "c": (10,), "d": (2000,)}.items() for s in times]
+    rows.sort()
+    for k in range(4):  # interleaved within what the delay allows
+        write(spark, tmp_path, rows[k * 3 : k * 3 + 3][::-1], 100 * k)
+    spans = run_closed_spans(table_stream(spark, str(tmp_path), "log", max_files_per_trigger=files), timedelta(seconds=60), timedelta(seconds=300))
+    found = sorted((r.id, r.started_at, r.last_active, r.ended_at, r.events) for r in spans.collect())
+    # Exactly one timeout apart stays together, one second more does not; d's span is still open.
+    expected = [("a", 0, 60, 2), ("a", 121, 181, 2), ("a", 600, 600, 1), ("b", 30, 90, 2), ("b", 151, 151, 1), ("b", 900, 900, 1), ("c", 10, 10, 1)]
+    assert found == [(n, at(s), at(e), at(e + 60), k) for n, s, e, k in expected]
+
+
+def test_state_holds_open_spans_only(spark, tmp_path):
+    folder = str(tmp_path / "job")
+    for k in range(3):
+        write(spark, tmp_path, [(10_000 * k + s, "heartbeat", f"n{s}", "h") for s in range(50)], 100 * k)
+    seen = []
+    for _ in range(2):
+        stream = stream_closed_spans(table_stream(spark, str(tmp_path), "log", max_files_per_trigger=1), timedelta(seconds=60), timedelta(seconds=1))
+        query = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/c").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert seen and max(seen) <= 100 and seen[-1] <= 50
