@@ -46,6 +46,19 @@ MOST_SHARDS = 1 << 16
 class TableTokenizer(WordTokenizer):
     """The same ids, with known words looked up for a whole slice at once in a table of hashes with open addresses."""
 
+    def __init__(self, path: str, known: int = 1_000_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tokenizers
+
+        # A worker process runs many tasks, each with its own copy of this code: the vocabulary stays with the library.
+        loaded = tokenizers.__dict__.setdefault("_rollcall_loaded", {})
+        if path not in loaded:
+            loaded[path] = tokenizers.Tokenizer.from_file(path)
+        self.tokenizer, self.known = loaded[path], known
+        self._forget()
+
     def _forget(self) -> None:
         super()._forget()
         self.keys, self.at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
@@ -123,7 +136,7 @@ def from_planes(planes: list[bytes], count: int, bits: int) -> np.ndarray:
 class PlaneWriter:
     """One file, written block by block to an open stream."""
 
-    def __init__(self, stream, bits: int = 8, block: int = BLOCK, level: int = 3):
+    def __init__(self, stream, bits: int = 8, block: int = BLOCK, level: int = 1):
         import zstandard
 
         if bits not in (1, 8):
@@ -153,7 +166,7 @@ class PlaneWriter:
 
     def _block(self, ids: np.ndarray) -> None:
         data = np.ascontiguousarray(ids, "<u4")
-        frames = [self.packer.compress(plane) if any(plane) else b"" for plane in to_planes(data, self.bits)]
+        frames = [self.packer.compress(plane) if np.frombuffer(plane, np.uint8).any() else b"" for plane in to_planes(data, self.bits)]
         self.blocks.append((self.size, len(ids), zlib.crc32(data), *map(len, frames)))
         for frame in frames:
             self._put(frame)
