@@ -55,9 +55,9 @@ def activity(reg: DataFrame, hb: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(False).alias("beat"),
     )
     beats = hb.select("id", "ts", "seq", F.lit(True).alias("beat"))
-    hot = hot_keys(beats, "id", epoch_micros(beats, "ts"))
-    ordinary_beats, hot_beats = split_hot(beats, "id", epoch_micros(beats, "ts"), hot)
-    ordinary_start, hot_start = split_hot(accepted, "id", epoch_micros(accepted, "ts"), hot)
+    hot = hot_keys(beats, "id", epoch_micros(beats, "ts"), "seq")
+    ordinary_beats, hot_beats = split_hot(beats, "id", epoch_micros(beats, "ts"), hot, "seq")
+    ordinary_start, hot_start = split_hot(accepted, "id", epoch_micros(accepted, "ts"), hot, "seq")
 
     so_far = (
         Window.partitionBy("id")

@@ -252,7 +252,7 @@ def attempt_tiers(reg: DataFrame) -> DataFrame:
     disconnect, is this library's rule.
     """
     position = epoch_micros(reg, "ts")
-    ordinary, heavy = split_hot(reg.select("seq", "ts", "id"), "id", position)
+    ordinary, heavy = split_hot(reg.select("seq", "ts", "id"), "id", position, tie="seq")
     ordinary, heavy = running_number(ordinary, heavy, "id", ["ts", "seq"], "attempt")
     columns = ["seq", "ts", "id", "attempt"]
     tier = (
