@@ -123,6 +123,55 @@ def effects(messages: Iterable[tuple[str, str]]) -> Iterator[Effect]:
         yield ALIVE, None, None, False, DEAD_NONE, None, latest
 
 
+Table = dict[tuple[str, str | None], Effect]
+
+
+def _dead_after(dead_from: str, dead_id: str | None, owner: str, then: Effect) -> tuple[str, str | None]:
+    """The dead entry of a start that a first stretch leaves with ``owner``, after a second stretch."""
+    if then[2] is None:
+        kept = then[4] == DEAD_KEPT or then[6] == owner
+        return (dead_from, dead_id) if kept else (DEAD_NONE, None)
+    if then[4] == DEAD_KEPT:
+        return dead_from, dead_id
+    return (DEAD_IS, owner) if then[4] == DEAD_WAS_OWNER else (then[4], then[5])
+
+
+def compose(first: Table, then: Table) -> Table:
+    """The effects of two stretches in a row, as if they were one; an empty table has no effect.
+
+    It is associative, so stretches can be composed in any grouping. A start has one row at most, whatever the
+    number of stretches.
+    """
+    if not first or not then:
+        return then or first
+    both: Table = {}
+    any_other, any_later = first[ALIVE, None], then[ALIVE, None]
+    for start, effect in first.items():
+        owner, lost, dead_from, dead_id = effect[2:6]
+        if owner is None:
+            continue
+        now = UNKNOWN if lost else ALIVE
+        later = then.get((now, owner)) or then.get((now, None))
+        if later is not None:
+            dead_from, dead_id = _dead_after(dead_from, dead_id, owner, later)
+            owner, lost = (owner, False) if later[2] is None else later[2:4]
+        both[start] = (*start, owner, lost, dead_from, dead_id, None)
+    for (start, owner), effect in then.items():
+        if start != ALIVE:
+            # The first stretch passes these on if it has no row for any of their kind.
+            if (start, None) not in first:
+                both[start, owner] = effect
+        elif owner is not None and (start, owner) not in first:
+            kept = any_other[4] == DEAD_KEPT or any_other[6] == owner
+            dead_from, dead_id = _dead_after(DEAD_KEPT if kept else DEAD_NONE, None, owner, effect)
+            both[start, owner] = (start, owner, *effect[2:4], dead_from, dead_id, None)
+    soles = {effect[6] for effect in (any_other, any_later) if effect[4] != DEAD_KEPT}
+    sole = soles.pop() if len(soles) == 1 else None
+    kept = any_other[4] == any_later[4] == DEAD_KEPT
+    both[ALIVE, None] = (ALIVE, None, None, False, DEAD_KEPT if kept else DEAD_NONE, None, sole)
+    return both
+
+
 def apply_effects(state: State, table: dict[tuple[str, str | None], Effect]) -> State:
     """The state after a stretch, given its effects by ``(start, start_owner)``."""
     owner, _, dead = state

@@ -12,8 +12,10 @@ which are nearly all of a log, never change the state and never reach Python: a
 gives each the state after the latest message before it.
 
 A hot address (see ``plans.skew``) is cut into cells. A first pass reduces each cell
-to its effect on any state, a second walks those effects in order to find the state
-each cell starts from, and the fold then runs on all cells at once.
+to its effect on any state. Effects are composed by blocks of cells, the blocks of an address are walked in
+order to find the state each starts from, then all blocks at once are walked for the state each cell starts
+from, and the fold then runs on all cells at once. So no task reads more than the effects of one block, or one
+composed effect for each block of an address.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from rollcall.functions.ownership import (
     UPDATED,
     answer,
     apply_effects,
+    compose,
     effects,
 )
 from rollcall.plans.skew import CELL, IS_CARRY, split_hot, with_carry
@@ -53,6 +56,12 @@ _EFFECT_TYPE = ", ".join(
     f"{name} {'boolean' if name == 'lost' else 'string'}" for name in _EFFECT_COLUMNS
 )
 
+# Cells in a block: as many as there are blocks where an address has the most cells.
+BLOCK_CELLS = 256
+_BLOCK = "_block"
+# Start of the row that names a cell and has no effect, and of the row that brings a state.
+_CELL_ROW, _STATE_ROW = "cell", "state"
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -98,21 +107,21 @@ def _answered(keys: list[str], kept: list[str], resumes: bool) -> Callable[[Batc
     return run
 
 
+def _effect_batch(rows: list[tuple], place: str) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64()]
+    types += [pa.bool_() if name == "lost" else pa.string() for name in _EFFECT_COLUMNS]
+    columns = zip(*rows) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, of) for values, of in zip(columns, types)],
+        ["address", place, *_EFFECT_COLUMNS],
+    )
+
+
 def _cell_effects(batches: Batches) -> Batches:
     """One row per effect of each ``(address, cell)``; input sorted by both and order.
 
     Only the messages of one cell are held at a time.
     """
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.string(), pa.int64()]
-        types += [pa.bool_() if name == "lost" else pa.string() for name in _EFFECT_COLUMNS]
-        columns = zip(*rows) if rows else [[]] * len(types)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values, of) for values, of in zip(columns, types)],
-            ["address", CELL, *_EFFECT_COLUMNS],
-        )
-
     current, messages = None, []
     for batch in batches:
         done = []
@@ -123,32 +132,95 @@ def _cell_effects(batches: Batches) -> Batches:
                     done += [current + effect for effect in effects(messages)]
                 current, messages = group, []
             messages.append((kind, sender))
-        yield batch_of(done)
+        yield _effect_batch(done, CELL)
     if current is not None:
-        yield batch_of([current + effect for effect in effects(messages)])
+        yield _effect_batch([current + effect for effect in effects(messages)], CELL)
 
 
-def _cell_starts(batches: Batches) -> Batches:
-    """The state each cell starts from; input sorted by address and cell."""
-    address = cell = None
-    state = NO_OWNER
+def _block_effects(batches: Batches) -> Batches:
+    """One row per effect of each ``(address, block)``, or one that names it; input sorted by both and cell."""
+    named = (_CELL_ROW, *[None] * (len(_EFFECT_COLUMNS) - 1))
+    current = cell = None
+    whole: dict = {}
     table: dict = {}
     for batch in batches:
-        starts = []
-        for row_address, row_cell, *effect in zip(
-            *[_values(batch, name) for name in batch.schema.names]
-        ):
-            if (row_address, row_cell) != (address, cell):
-                state = apply_effects(state, table) if row_address == address else NO_OWNER
-                address, cell, table = row_address, row_cell, {}
-                starts.append((address, cell, *state))
-            table[effect[0], effect[1]] = tuple(effect)
-        types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-        columns = zip(*starts) if starts else [[]] * len(types)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values, of) for values, of in zip(columns, types)],
-            ["address", CELL, *_STATE],
-        )
+        done = []
+        rows = zip(_groups(batch, ["address", _BLOCK]), _values(batch, CELL), *[_values(batch, name) for name in _EFFECT_COLUMNS])
+        for group, row_cell, *effect in rows:
+            if (group, row_cell) != (current, cell):
+                whole, table = compose(whole, table), {}
+                if group != current:
+                    if current is not None:
+                        done += [current + found for found in whole.values() or [named]]
+                    whole = {}
+                current, cell = group, row_cell
+            if effect[0] != _CELL_ROW:
+                table[effect[0], effect[1]] = tuple(effect)
+        yield _effect_batch(done, _BLOCK)
+    if current is not None:
+        yield _effect_batch([current + found for found in compose(whole, table).values() or [named]], _BLOCK)
+
+
+def _starts(keys: list[str], place: str) -> Callable[[Batches], Batches]:
+    """The state each place of a group starts from; input sorted by the group's keys, state rows, and place."""
+
+    def run(batches: Batches) -> Batches:
+        current = at = None
+        state = NO_OWNER
+        table: dict = {}
+        for batch in batches:
+            starts = []
+            rows = zip(_groups(batch, keys), _values(batch, "address"), _values(batch, place), *[_values(batch, name) for name in _EFFECT_COLUMNS])
+            for group, address, row_at, *effect in rows:
+                if group != current:
+                    current, at, state, table = group, None, NO_OWNER, {}
+                if effect[0] == _STATE_ROW:
+                    state = (effect[2], effect[3], effect[5])
+                    continue
+                if row_at != at:
+                    state = apply_effects(state, table)
+                    at, table = row_at, {}
+                    starts.append((address, at, *state))
+                table[effect[0], effect[1]] = tuple(effect)
+            types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+            columns = zip(*starts) if starts else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, of) for values, of in zip(columns, types)],
+                ["address", place, *_STATE],
+            )
+
+    return run
+
+
+def _cell_starts(by_effect: DataFrame) -> DataFrame:
+    """``address, cell`` and the state each cell starts from, from the effects of all cells."""
+    state_type = "owner string, lost boolean, dead string"
+    in_block = by_effect.withColumn(_BLOCK, F.call_function("div", F.col(CELL), F.lit(BLOCK_CELLS)))
+    by_block = ["address", _BLOCK]
+    composed = (
+        in_block.repartition(*by_block)
+        .sortWithinPartitions(*by_block, CELL)
+        .mapInArrow(_block_effects, f"address string, {_BLOCK} bigint, {_EFFECT_TYPE}")
+    )
+    blocks = (
+        composed.repartition("address")
+        .sortWithinPartitions(*by_block)
+        .mapInArrow(_starts(["address"], _BLOCK), f"address string, {_BLOCK} bigint, {state_type}")
+    )
+    brought = blocks.select(
+        *by_block,
+        F.lit(_STATE_ROW).alias("start"),
+        "owner",
+        "lost",
+        F.col("dead").alias("dead_id"),
+    )
+    first = (F.col("start") == _STATE_ROW).desc()
+    return (
+        in_block.unionByName(brought, allowMissingColumns=True)
+        .repartition(*by_block)
+        .sortWithinPartitions(*by_block, first, CELL)
+        .mapInArrow(_starts(by_block, CELL), f"address string, {CELL} bigint, {state_type}")
+    )
 
 
 def _output(rows: DataFrame, kept: list[str]) -> T.StructType:
@@ -194,17 +266,11 @@ def _replay_hot(heavy: DataFrame, kept: list[str]) -> DataFrame:
     )
     # Cells with heartbeats need a start too; this row names the cell and has no effect.
     nothing = [
-        F.lit("cell" if name == "start" else None).cast("boolean" if name == "lost" else "string").alias(name)
+        F.lit(_CELL_ROW if name == "start" else None).cast("boolean" if name == "lost" else "string").alias(name)
         for name in _EFFECT_COLUMNS
     ]
     by_effect = by_effect.unionByName(beats.select(*by_cell).distinct().select(*by_cell, *nothing))
-    starts = (
-        by_effect.repartition("address")
-        .sortWithinPartitions(*by_cell)
-        .mapInArrow(
-            _cell_starts, f"address string, {CELL} bigint, owner string, lost boolean, dead string"
-        )
-    )
+    starts = _cell_starts(by_effect)
     rows = with_carry(heavy, starts)
     kept_cell = [*kept, CELL]
     answered = (
@@ -230,7 +296,7 @@ def replay(log: DataFrame) -> DataFrame:
     """
     kept = [*COLUMNS, *[name for name in log.columns if name not in COLUMNS]]
     log = log.select(*kept)
-    ordinary, heavy = split_hot(log, "address", epoch_micros(log, "ts"))
+    ordinary, heavy = split_hot(log, "address", epoch_micros(log, "ts"), tie="seq")
     folded = (
         ordinary.filter(F.col("kind") != HEARTBEAT)
         .repartition("address")

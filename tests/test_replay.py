@@ -6,8 +6,12 @@ from hypothesis import strategies as st
 from conftest import SMALL
 from logs import WholeLog, log, random_rows, split
 
-from rollcall.functions.ownership import NO_OWNER, answer, apply_effects, effects
+from rollcall.functions.ownership import NO_OWNER, answer, apply_effects, compose, effects
+from pyspark.sql import functions as F
+
+from rollcall.functions.clock import epoch_micros
 from rollcall.operators import registry, replay
+from rollcall.plans import skew
 from rollcall.sources import message_log, table
 
 HEARTBEAT, LOST, REGISTER = "heartbeat", "lost", "register"
@@ -39,6 +43,31 @@ def test_effects_of_a_stretch_equal_running_it(stretch):
         assert apply_effects(start, table) == state
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(messages, min_size=2, max_size=4), st.integers(0, 3))
+def test_composed_effects_equal_running_the_stretches(stretches, group_at):
+    tables = [{(effect[0], effect[1]): effect for effect in effects(stretch)} if stretch else {} for stretch in stretches]
+    from_left = {}
+    for table in tables:
+        from_left = compose(from_left, table)
+    at = min(group_at, len(tables))
+    left, right = {}, {}
+    for table in tables[:at]:
+        left = compose(left, table)
+    for table in reversed(tables[at:]):
+        right = compose(table, right)
+    names = "abcde"
+    starts = [NO_OWNER] + [
+        (owner, lost, dead) for owner in names for lost in (False, True) for dead in [None, *names] if dead != owner
+    ]
+    assert len(from_left) <= 2 * len(names) + 3
+    for start in starts:
+        state = start
+        for kind, sender in [message for stretch in stretches for message in stretch]:
+            _, state = answer(state, kind, sender)
+        assert apply_effects(start, from_left) == apply_effects(start, compose(left, right)) == state
+
+
 def test_each_branch(spark):
     rows = [
         (1, LOST, "a", "h"),  # nobody there
@@ -83,6 +112,35 @@ def test_replay_agrees_with_whole_log(spark, hot_from, hot_rows, seed, ids):
     assert listed == {(one["id"], one["at"], one["state"]) for one in whole.listed}
 
 
+@pytest.mark.parametrize("cells_in_block", [1, 3, 50])
+@pytest.mark.parametrize("beats_alone", [False, True])
+def test_any_size_of_block(spark, hot_from, monkeypatch, cells_in_block, beats_alone):
+    hot_from(1)
+    monkeypatch.setattr(replay, "BLOCK_CELLS", cells_in_block)
+    rows = random_rows(31, 500, 2, 5, ALL)
+    if beats_alone:  # a long stretch of cells, and whole blocks, in which no state changes
+        rows = [row if at < 60 or at > 440 else (row[0], HEARTBEAT, *row[2:]) for at, row in enumerate(rows)]
+    assert outcomes(replay.replay(log(spark, rows))) == WholeLog(rows).outcomes
+
+
+def test_no_task_reads_all_effects_of_a_hot_address(spark, hot_from):
+    """Of 2,000 cells with five effects or so each, the walk over blocks reads a row for each block and id."""
+    hot_from(64)
+    rows = [(at, (REGISTER, LOST)[at % 2], "abc"[at % 3], "h") for at in range(4000)]
+    made = log(spark, rows)
+    _, heavy = skew.split_hot(made, "address", epoch_micros(made, "ts"), tie="seq")
+    by_cell = heavy.repartition("address", skew.CELL).sortWithinPartitions("address", skew.CELL, "ts", "seq")
+    kinds = f"address string, {skew.CELL} bigint, {replay._EFFECT_TYPE}"
+    cells = by_cell.select("address", skew.CELL, "kind", "id").mapInArrow(replay._cell_effects, kinds)
+    in_block = cells.withColumn("_block", F.expr(f"{skew.CELL} div {replay.BLOCK_CELLS}"))
+    blocks = in_block.repartition("address", "_block").sortWithinPartitions("address", "_block", skew.CELL)
+    composed = blocks.mapInArrow(replay._block_effects, f"address string, _block bigint, {replay._EFFECT_TYPE}")
+    total, walked = cells.count(), composed.count()
+    largest = max(row["count"] for row in in_block.groupBy("_block").count().collect())
+    assert total > 4000 and walked < total / 40 and largest < total / 5
+    assert outcomes(replay.replay(made)) == WholeLog(rows).outcomes
+
+
 def test_without_losses_replay_is_the_plain_outcomes(spark):
     made = log(spark, random_rows(5, 500, 10, 3, (REGISTER, HEARTBEAT)))
     reg, hb = split(made)
