@@ -73,6 +73,34 @@ def test_furniture_without_end_tags():
     assert texts("<article><p class=ad>buy</p>One<ul><li class=share>s</li><li>Two</ul></article>") == ["One", "Two"]
 
 
+def test_names_count_as_wholes():
+    texts = lambda page: [t for t, _ in blocks(page)]
+    assert blocks("<article class='post has-sidebar'><p>One</article>") == [("One", False)]
+    assert blocks("<div class='with-sidebar'><article><p>One</p><div>Two</div></article></div>") == [("One", False), ("Two", True)]
+    assert blocks("<article><section id='related-work'><h2>Head<p>One<section><p>Two</section>Three</section><p>Four</article>") == [
+        ("Head", True), ("One", True), ("Two", True), ("Three", True), ("Four", False)
+    ]
+    assert texts("<article><pre>x = 1 <span class='comment'># one</span></pre><code><span class=comment>c</span></code></article>") == ["x = 1 # one", "c"]
+    assert texts("<article><p>One<div class='cookieBanner'>c</div><div class='social share-buttons'>s</div><div aria-label='Share this article'>t</div><p>Two") == ["One", "Two"]
+    assert texts("<div class='page-header'>h</div><div class='post-header'>Title</div><div data-class='ad'>Text") == ["Title", "Text"]
+    assert texts("<article><p>One</article><div id=comments><article class=comment><p>c</article></div><article class='comment'>d</article>") == ["One"]
+
+
+def test_copies_keep_their_text(spark):
+    story = "".join(f"<p>Paragraph {i} of a story that several pages tell in the same words</p>" for i in range(8))
+    rows = [(i, f"http://x.org/x?copy={i}", story, "", 1) for i in range(4)] + [(4, "http://x.org/x2", story + "<div>Printed at noon</div>", "", 1)]
+    rows += [(10, "http://y.org/a", f"<div>Menu of y</div>{story}", "", 1), (11, "http://y.org/a1", f"<div>Menu of y</div>{story}<p>new</p>", "", 1)]
+    rows += [(12, "http://y.org/b", "<div>Menu of y</div><p>Other words on quite another matter</p>", "", 1)]
+    rows += [(20, "http://z.org/a/1", "<article><div class='related-work'>Old</div><p>One</article>", "", 1), (21, "http://z.org/a/2", "<article><div class='related-work'>Old</div><p>Two", "", 1)]
+    rows += [(22, "http://z.org/", "<article><div class='related-work'>New</div><p>Three</article>", "", 1)]
+    found = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    lines = "\n".join(blocks(story)[i][0] for i in range(8))
+    assert {i: found[i] for i in range(5)} == dict.fromkeys(range(4), lines) | {4: f"{lines}\nPrinted at noon"}
+    # The copy before is passed over, so the menu is found in the page after; where there is a copy only, nothing is cut.
+    assert found[11] == f"{lines}\nnew" and found[10] == f"Menu of y\n{lines}" and found[12] == "Other words on quite another matter"
+    assert (found[20], found[21], found[22]) == ("One", "Two", "New\nThree")
+
+
 def test_common_lines():
     draw = random.Random(6)
     for _ in range(100):
@@ -95,7 +123,7 @@ def test_nearest_pages_share_lines(spark):
     rows += [(100, "http://other.org/x", "<div>Top of site</div><p>x</p>", "h", 1), (101, None, "<p>n</p>", None, None), (102, None, None, None, None), (None, "http://o2.org/", "", "h", 1)]
     rows += [(200, "http://p.org/b/1", "<div>far</div><p>q</p>", "", 1), (201, "http://p.org/b/2", "<div>far</div><div>near</div>", "", 1), (202, "http://p.org/b/22", "<div>near</div>", "", 1)]
     rows += [(300 + k, "http://c.org/1", "<article><p>same article</p><div>more</div></article>", "", 1) for k in range(2)]
-    expected = {i: f"Story number {i} alone" for i in range(40)} | {100: "Top of site\nx", 101: "n", 102: "", None: "", 200: "q", 201: "far", 202: "", 300: "same article", 301: "same article"}
+    expected = {i: f"Story number {i} alone" for i in range(40)} | {100: "Top of site\nx", 101: "n", 102: "", None: "", 200: "q", 201: "far", 202: ""} | dict.fromkeys((300, 301), "same article\nmore")
     for parts in (1, 7):
         frame = spark.createDataFrame(rows, SCHEMA).repartition(parts)
         found = extracted(frame).collect()
