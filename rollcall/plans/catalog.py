@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.operators import cache, export, links, liveness, registry, replay, reports
+from rollcall.operators import cache, export, links, liveness, registry, replay, reports, timeline
 from rollcall.sources import (
     heartbeats,
     losses,
@@ -83,6 +83,20 @@ def _liveness(spark: SparkSession, folder: str) -> DataFrame:
     return liveness.liveness(registrations(events), heartbeats(events), latest, DAY)
 
 
+def _fleet_by_hour(spark: SparkSession, folder: str) -> DataFrame:
+    """The fleet at the start of every hour in which something happened."""
+    events = table(spark, folder, "events")
+    hours = events.select(F.date_trunc("hour", "ts").cast(events.schema["ts"].dataType).alias("as_of"))
+    return timeline.fleet_at(registrations(events), heartbeats(events), hours, DAY)
+
+
+def _state_at_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """What was known of a container when it was reported lost."""
+    events = table(spark, folder, "events")
+    asked = losses(events).select("id", F.col("ts").alias("as_of"))
+    return timeline.state_at(registrations(events), heartbeats(events), asked, DAY)
+
+
 def _joined_tags(audit: DataFrame) -> DataFrame:
     return audit.withColumn("offending_tags", F.array_join("offending_tags", ","))
 
@@ -167,6 +181,8 @@ def queries() -> dict[str, Query]:
         "liveness": _liveness,
         "heartbeat_gaps": _on_log(lambda reg, hb: liveness.heartbeat_gaps(reg, hb, DAY)),
         "alive_spans": _on_log(lambda reg, hb: liveness.alive_spans(reg, hb, DAY)),
+        "fleet_by_hour": _fleet_by_hour,
+        "state_at_losses": _state_at_losses,
         "stream_registration_outcomes": _on_stream(
             lambda events: run_registration_outcomes(registrations(events))
         ),

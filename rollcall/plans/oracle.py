@@ -435,6 +435,24 @@ def oracle_sql() -> dict[str, str]:
                 SELECT id, ts, seq FROM accepted
                 UNION ALL SELECT id, ts, seq FROM hb WHERE updates
             ), {_SPANS} SELECT * FROM spans""",
+        "fleet_by_hour": f"""
+            WITH {_LOGS}, active AS (
+                SELECT id, ts, seq FROM accepted
+                UNION ALL SELECT id, ts, seq FROM hb WHERE updates
+            ), {_SPANS}, times AS (SELECT DISTINCT date_trunc('hour', ts) AS as_of FROM events)
+            SELECT as_of, count(s.id) AS alive, CAST(coalesce(sum(a.memory), 0) AS BIGINT) AS memory,
+                   (SELECT count(*) FROM accepted x WHERE x.ts <= as_of) AS listed
+            FROM times LEFT JOIN spans s ON s.started_at <= as_of AND as_of <= s.ended_at
+            LEFT JOIN accepted a ON a.id = s.id GROUP BY as_of""",
+        "state_at_losses": f"""
+            WITH {_LOGS}, active AS (
+                SELECT id, ts FROM accepted UNION SELECT id, ts FROM hb WHERE updates
+            )
+            SELECT l.id, l.ts AS as_of, a.ts AS last_seen,
+                   CASE WHEN l.ts - a.ts <= INTERVAL 24 HOUR THEN 'ALIVE'
+                        WHEN a.ts IS NOT NULL THEN 'DEAD' END AS state
+            FROM (SELECT id, ts FROM message WHERE kind = 'lost') l
+            ASOF LEFT JOIN active a ON l.id = a.id AND l.ts >= a.ts""",
         "stream_registration_outcomes": _REGISTRATION_OUTCOMES,
         "stream_last_seen": f"""
             WITH {_LOGS} SELECT id, max(ts) AS last_seen FROM hb GROUP BY id""",

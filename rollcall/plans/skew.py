@@ -26,6 +26,8 @@ the rows of a cell. Rows of one key with the same time and tie stay together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,3 +204,32 @@ def running_number(
         .drop(IS_CARRY, "_before")
     )
     return ordinary, heavy
+
+
+def running(
+    ordinary: DataFrame,
+    heavy: DataFrame,
+    key: str,
+    order: list[str],
+    results: dict[str, tuple[Callable[[Column], Column], str]],
+) -> tuple[DataFrame, DataFrame]:
+    """Add, by name, an associative aggregate (sum, max, ...) of a column over the key's rows up to and with this one.
+
+    A cell's aggregate is one row, and those before a cell are its carry row. Rows must have one order.
+    """
+
+    def over(window: Window) -> dict[str, Column]:
+        return {name: function(F.col(value)).over(window) for name, (function, value) in results.items()}
+
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    ordinary = ordinary.withColumns(over(Window.partitionBy(key).orderBy(*order).rowsBetween(*so_far)))
+    values = {value: function for function, value in results.values()}
+    before = Window.partitionBy(key).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        heavy.groupBy(key, CELL)
+        .agg(*[function(F.col(value)).alias(value) for value, function in values.items()])
+        .select(key, CELL, *[function(F.col(value)).over(before).alias(value) for value, function in values.items()])
+    )
+    in_cell = Window.partitionBy(key, CELL).orderBy(*cell_order(order)).rowsBetween(*so_far)
+    heavy = with_carry(heavy, carry).withColumns(over(in_cell)).filter(~F.col(IS_CARRY)).drop(IS_CARRY, CELL)
+    return ordinary, heavy
