@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.clock import epoch_micros
 from rollcall.operators.registry import ALIVE, fleet_snapshot
+from rollcall.sources.document import write_document
 
 
 def _document(registry: DataFrame) -> Column:
@@ -78,3 +79,11 @@ def fleet_json(registry: DataFrame, url: str, status: str = ALIVE) -> DataFrame:
         .select("end.part", F.lit("").alias("id"), "end.line")
     )
     return ends.unionByName(workers).orderBy("part", "id")
+
+
+def write_fleet_document(registry: DataFrame, folder: str, url: str, status: str = ALIVE) -> None:
+    """Write the fleet document under ``folder``: its parts in order are one JSON document.
+
+    See :mod:`rollcall.sources.document` for what is written and how failed tasks are survived.
+    """
+    write_document(fleet_json(registry, url, status), folder)

@@ -13,10 +13,12 @@ from rollcall.sources import (
     heartbeats,
     losses,
     message_log,
+    new_folder,
     registrations,
     table,
     table_stream,
 )
+from rollcall.sources.document import read_document
 from rollcall.sources.fleet_log import REGISTER
 from rollcall.streaming import (
     run_alive_spans,
@@ -83,6 +85,14 @@ def _liveness(spark: SparkSession, folder: str) -> DataFrame:
     return liveness.liveness(registrations(events), heartbeats(events), latest, DAY)
 
 
+def _fleet_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The fleet document, written as one file of parts and read back by offset."""
+    fleet = registry.registry(registrations(table(spark, folder, "events")))
+    target = new_folder(spark, "fleet-document")
+    export.write_fleet_document(fleet, target, MASTER_URL)
+    return read_document(spark, target)
+
+
 def _fleet_by_hour(spark: SparkSession, folder: str) -> DataFrame:
     """The fleet at the start of every hour in which something happened."""
     events = table(spark, folder, "events")
@@ -167,6 +177,7 @@ def queries() -> dict[str, Query]:
         ),
         "container_json": _on_registry(export.container_json),
         "fleet_json": _on_registry(lambda fleet: export.fleet_json(fleet, MASTER_URL)),
+        "fleet_document": _fleet_document,
         "attempt_tiers": _on_log(lambda reg, hb: registry.attempt_tiers(reg)),
         "replay": _on("events", lambda events: replay.replay(message_log(events))),
         "replay_registry": _on(

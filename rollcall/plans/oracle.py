@@ -73,6 +73,17 @@ _CONTAINER_JSON = """CAST(to_json({'id': id, 'host': host, 'port': port,
     'memoryfree': memory_free, 'state': state,
     'lastheartbeat': epoch_us(last_heartbeat) // 1000}) AS VARCHAR)"""
 
+_FLEET_LINES = f"""
+    WITH {_FLEET}, total AS (SELECT {_TOTALS} FROM fleet)
+    SELECT 0 AS part, '' AS id, '{{"url":"{MASTER_URL}","workers":[' AS line
+    UNION ALL
+    SELECT 1, id, CASE WHEN row_number() OVER (ORDER BY id) = 1 THEN '' ELSE ',' END
+           || {_CONTAINER_JSON} FROM fleet
+    UNION ALL
+    SELECT 2, '', '],"memory":' || memory || ',"memoryused":' || memory_used
+           || ',"status":"ALIVE"}}' FROM total"""
+
+
 _REGISTRATION_OUTCOMES = f"""
     WITH {_LOGS}, labelled AS (
         SELECT seq, ts, id, address,
@@ -388,15 +399,11 @@ def oracle_sql() -> dict[str, str]:
                    || memory_used || '}}' AS json
             FROM fleet WHERE id IN (SELECT id FROM message WHERE kind = 'lost')""",
         "container_json": f"WITH {_FLEET} SELECT id, {_CONTAINER_JSON} AS json FROM fleet",
-        "fleet_json": f"""
-            WITH {_FLEET}, total AS (SELECT {_TOTALS} FROM fleet)
-            SELECT 0 AS part, '' AS id, '{{"url":"{MASTER_URL}","workers":[' AS line
-            UNION ALL
-            SELECT 1, id, CASE WHEN row_number() OVER (ORDER BY id) = 1 THEN '' ELSE ',' END
-                   || {_CONTAINER_JSON} FROM fleet
-            UNION ALL
-            SELECT 2, '', '],"memory":' || memory || ',"memoryused":' || memory_used
-                   || ',"status":"ALIVE"}}' FROM total""",
+        "fleet_json": _FLEET_LINES,
+        "fleet_document": f"""
+            SELECT line, CAST(coalesce(sum(strlen(line) + 1) OVER (
+                       ORDER BY part, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+            FROM ({_FLEET_LINES}) x""",
         "attempt_tiers": f"""
             WITH {_LOGS}, numbered AS (
                 SELECT seq, ts, id,

@@ -1,0 +1,79 @@
+"""One document from many parts: valid as a whole, and unmoved by failed and repeated tasks."""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from rollcall.operators.export import fleet_json, write_fleet_document
+from rollcall.operators.registry import registry
+from rollcall.sources import registrations, table
+from rollcall.sources.document import _Writer, chunks, manifest, read_document, write_document
+
+
+def _lines(spark, size, parts):
+    return spark.range(size, numPartitions=parts).select(F.concat(F.lit("é𝒳 line "), F.col("id")).alias("line"), F.lit(1).alias("offset"))
+
+
+def test_fleet_document_is_one_json_document(spark, tmp_path):
+    fleet = registry(registrations(table(spark, SMALL, "events")))
+    write_fleet_document(fleet, str(tmp_path / "d"), "fleet://h:1")
+    document = json.loads(b"".join(chunks(str(tmp_path / "d"))))
+    ids = [r.id for r in fleet.select("id").orderBy("id").collect()]
+    assert list(document) == ["url", "workers", "memory", "memoryused", "status"] and [w["id"] for w in document["workers"]] == ids
+    assert [r.line for r in read_document(spark, str(tmp_path / "d")).orderBy("offset").collect()] == [r.line for r in fleet_json(fleet, "fleet://h:1").collect()]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_any_number_of_parts(spark, tmp_path, parts):
+    folder = str(tmp_path / "d")
+    write_document(_lines(spark, 23, parts), folder)
+    data = b"".join(chunks(folder))
+    assert data.decode() == "".join(f"é𝒳 line {i}\n" for i in range(23))
+    held = manifest(folder)
+    assert held["bytes"] == len(data) and held["lines"] == 23
+    for row in read_document(spark, folder).collect():
+        assert data[row.offset :].startswith(row.line.encode() + b"\n")
+    for part in held["parts"]:
+        assert data[: part["offset"]].count(b"\n") == part["first_line"]
+
+
+def test_left_over_attempts_change_nothing(spark, tmp_path):
+    folder = tmp_path / "d"
+    folder.mkdir()
+    (folder / "part-00000000-of-an-earlier-attempt").write_bytes(b"half a li")
+    (folder / ".manifest.json.lost").write_bytes(b"{")
+    write_document(_lines(spark, 9, 3), str(folder))
+    assert b"".join(chunks(str(folder))).count(b"\n") == 9 and read_document(spark, str(folder)).count() == 9
+
+
+def test_no_manifest_no_document(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    bad = _lines(spark, 9, 3).withColumn("line", F.when(F.col("line") != "é𝒳 line 7", F.col("line")))
+    with pytest.raises(Exception, match="null or holds a line break"):
+        write_document(bad, folder)
+    assert not (Path(folder) / "manifest.json").exists()
+    write_document(_lines(spark, 9, 3), folder)
+    with pytest.raises(Exception, match="already"):
+        write_document(_lines(spark, 9, 3), folder)
+    assert manifest(folder)["lines"] == 9
+
+
+def test_damage_is_found(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    write_document(_lines(spark, 9, 2), folder)
+    path = Path(folder) / manifest(folder)["parts"][1]["file"]
+    path.write_bytes(path.read_bytes().replace(b"7", b"6"))
+    with pytest.raises(Exception, match="not what the manifest says"):
+        read_document(spark, folder).collect()
+
+
+def test_empty(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    write_document(_lines(spark, 0, 2), folder)
+    assert list(chunks(folder)) == [] and read_document(spark, folder).count() == 0
+    _Writer(str(tmp_path / "e"), 0).abort([None])
