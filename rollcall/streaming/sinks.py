@@ -67,18 +67,61 @@ def run_folded(
     return spark.read.parquet(*[f"{folder}/rows/version={at}" for at in range(first, version)])
 
 
+def _upserted(changes: DataFrame, key: str, newest: str) -> DataFrame:
+    """The latest row per ``key`` by ``newest``; combined before the shuffle."""
+    rest = [name for name in changes.columns if name not in (key, newest)]
+    latest = changes.groupBy(key).agg(F.max(F.struct(newest, *rest)).alias("latest"))
+    return latest.select(key, "latest.*").select(*changes.columns)
+
+
+def _current(spark: SparkSession, folder: str, columns: list[str]) -> tuple[int, DataFrame | None, DataFrame | None]:
+    """The version that counts, its snapshot, and the changes since, the latter with their ``epoch``."""
+    versions = _table(spark, f"{folder}/versions")
+    version = 0 if versions is None else versions.agg(F.max("version")).first()[0]
+    snapshot = spark.read.parquet(f"{folder}/snapshots/version={version}") if version else None
+    changes = _table(spark, f"{folder}/changes/after={version}")
+    return version, snapshot if snapshot is None else snapshot.select(*columns), changes
+
+
+def _compacted(spark: SparkSession, folder: str, key: str, newest: str, columns: list[str], share: float, epochs: int) -> None:
+    """Merge the changes into a new snapshot if they have ``share`` of its rows or ``epochs`` folders.
+
+    The snapshot is written first and counts from the line in ``versions`` on, so one that breaks off changes no answer
+    and is written again. The version before stays for those who read it; older ones are removed.
+    """
+    version, snapshot, changes = _current(spark, folder, columns)
+    if changes is None:
+        return
+    rows, folders = changes.agg(F.count(F.lit(1)), F.count_distinct("epoch")).first()
+    if not rows or (snapshot is not None and rows < share * snapshot.count() and folders < epochs):
+        return
+    every = changes.select(*columns) if snapshot is None else snapshot.unionByName(changes.select(*columns))
+    _upserted(every, key, newest).write.mode("overwrite").parquet(f"{folder}/snapshots/version={version + 1}")
+    spark.range(1).select(F.lit(version + 1).alias("version")).write.mode("append").parquet(f"{folder}/versions")
+    if version:
+        from pyarrow import fs
+
+        for old in (f"{folder}/snapshots/version={version - 1}", f"{folder}/changes/after={version - 1}"):
+            system, path = fs.FileSystem.from_uri(old)
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                system.delete_dir(path)
+
+
 def run_updates(
-    stream: DataFrame, key: str, newest: str, name: str, folder: str | None = None
+    stream: DataFrame, key: str, newest: str, name: str, folder: str | None = None, share: float = 0.25, epochs: int = 64
 ) -> DataFrame:
     """Run an update-mode stream and return the latest row per ``key`` by ``newest``.
 
-    Each micro-batch overwrites its own folder, so a repeated one changes nothing.
+    Each micro-batch overwrites its own folder of changes, so a repeated one changes nothing. When all are done, changes
+    that have at least ``share`` of the snapshot's rows, or ``epochs`` folders, are merged into the next snapshot. A read
+    takes the snapshot and the changes since, so its cost follows the keys and not the history.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark, name)
+    version = _current(spark, folder, stream.columns)[0]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/after={version}/epoch={epoch}")
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -88,11 +131,9 @@ def run_updates(
         .start()
     )
     query.awaitTermination()
-    updates = spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-    rest = [name for name in stream.columns if name not in (key, newest)]
-    return (
-        updates.groupBy(key)
-        .agg(F.max(F.struct(newest, *rest)).alias("latest"))
-        .select(key, "latest.*")
-        .select(*stream.columns)
-    )
+    _compacted(spark, folder, key, newest, stream.columns, share, epochs)
+    _, snapshot, changes = _current(spark, folder, stream.columns)
+    if changes is None:
+        return spark.createDataFrame([], stream.schema) if snapshot is None else snapshot
+    changes = changes.select(*stream.columns)
+    return _upserted(changes if snapshot is None else snapshot.unionByName(changes), key, newest)

@@ -115,6 +115,35 @@ def test_last_seen_is_updated(feed, tmp_path):
     assert latest() == {"a": at(9), "b": at(5)}
 
 
+def test_last_seen_is_compacted(spark, feed, tmp_path):
+    folder, beat = tmp_path / "job", "heartbeat"
+
+    def seen(**limits):
+        found = run_updates(stream_last_seen(feed.stream()), "id", "last_seen", "s2", str(folder), **limits)
+        return found, {row.id: row.last_seen for row in found.collect()}
+
+    feed.add([(n, beat, f"c{n}", "h") for n in range(40)], files=5)
+    expected = {f"c{n}": at(n) for n in range(40)}
+    found, first = seen()
+    # All is new, so all is compacted, and what is read is the snapshot alone.
+    assert first == expected and all("/snapshots/version=1/" in path for path in found.inputFiles())
+    feed.add([(100, beat, "c3", "h"), (0.5, beat, "c7", "h")])
+    found, second = seen()
+    expected["c3"] = at(100)
+    assert second == expected and any("/changes/after=1/" in path for path in found.inputFiles())
+    # A compaction that broke off has no line in versions and changes no answer.
+    spark.createDataFrame([("wrong", at(1))], "id string, last_seen timestamp_ntz").write.parquet(f"{folder}/snapshots/version=2")
+    assert seen()[1] == expected
+    for turn in range(6):
+        feed.add([(200 + turn, beat, f"c{turn}", "h")])
+        expected[f"c{turn}"] = at(200 + turn)
+        found, now = seen(epochs=3)
+        assert now == expected and len({path.split("/part-")[0] for path in found.inputFiles()}) <= 4
+    assert len(list((folder / "snapshots").iterdir())) <= 2 and len(list((folder / "changes").iterdir())) <= 2
+    feed.add([(300, beat, "new", "h")])
+    assert seen(share=0.0)[1] == expected | {"new": at(300)}
+
+
 def test_spans_of_runs_are_merged(feed, tmp_path):
     beat, folder = "heartbeat", str(tmp_path / "job")
     feed.add([(0, beat, "a", "h"), (60, beat, "a", "h"), (121, beat, "a", "h")])
