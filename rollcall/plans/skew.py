@@ -140,6 +140,12 @@ def split_hot(
     return ordinary, heavy
 
 
+def cut(df: DataFrame, position: Column, tie: str, bounds: list[tuple[int, int]]) -> DataFrame:
+    """``df`` with ``_cell``: how many of the ordered ``bounds`` (at most 65,535 places) are at or before the row's place."""
+    hot = df.sparkSession.createDataFrame([(0, bounds)], f"{_KEY} int, {_BOUNDS} {_BOUNDS_TYPE}")
+    return split_hot(df.withColumn("_one", F.lit(0)), "_one", position, hot, tie)[1].drop("_one")
+
+
 def with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
     """Rows plus carry rows, told apart by ``_is_carry``; missing columns are null."""
     return rows.withColumn(IS_CARRY, F.lit(False)).unionByName(
