@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.tables import stored
+from rollcall.plans.skew import CELL, cut
 from rollcall.sources.workspace import new_folder
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records get this date unless told otherwise, so equal input gives equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 #: Shard bounds are placed between this many ranges of page ids at most.
-GRANULES = 65_536
+GRANULES = 32_768
 
 
 def record_id(page: int | None, digest: str) -> str:
@@ -105,18 +106,24 @@ class _Files:
         self.stream, self.number = None, self.number + 1
 
 
-def _shards(narrow: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """(granule, shard) table of at most GRANULES rows, first id, ids in a granule, number of shards."""
-    low, high = narrow.agg(F.min("page_id"), F.max("page_id")).first()
-    low = low or 0
-    width = max(1, -(-((high or 0) - low + 1) // GRANULES))
-    granule = F.floor((F.col("page_id") - low) / width).cast("long")
-    sums = narrow.groupBy(F.coalesce(granule, F.lit(0)).alias("granule")).agg(F.sum(F.col("payload_bytes") + 600).alias("bytes")).collect()
-    total, rows = 0, []
-    for row in sorted(sums):
-        rows.append((row.granule, total // shard_bytes))
-        total += row.bytes
-    return narrow.sparkSession.createDataFrame(rows, "granule long, shard int"), low, width, rows[-1][1] + 1 if rows else 1
+def _shards(narrow: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """Where the second and later shards start, as places ``(page_id, tie)``.
+
+    A hash picks about GRANULES of the places, whatever their values, and shards of about ``shard_bytes`` are made of what lies
+    between them, so neither an outlying id nor a great many equal or null ones put more into one shard. The driver holds
+    one place and one sum for each granule.
+    """
+    every = max(1, -(-narrow.count() // GRANULES))
+    picks = narrow.select(F.struct("page_id", "tie").alias("place")).where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).distinct()
+    starts = [tuple(row) for row in picks.select("place.*").orderBy("page_id", "tie").collect()]
+    cells = cut(narrow, F.col("page_id"), "tie", starts).groupBy(CELL).agg(F.sum(F.col("payload_bytes") + 600).alias("bytes"))
+    bounds, total, shard = [], 0, 0
+    for cell, size in sorted(map(tuple, cells.collect())):
+        if total // shard_bytes > shard:
+            bounds.append(starts[cell - 1])
+            shard = total // shard_bytes
+        total += size
+    return bounds
 
 
 def write(
@@ -127,26 +134,21 @@ def write(
 
     ``folder`` is a URI that all executors can write to. A null html is an empty payload; a null
     url gets a urn of the page; a null id has no id header, and never is what others refer to. Rows that
-    repeat an id and a payload are records each, of one type. An empty table gives an empty manifest.
+    repeat an id and a payload are records each, of one type, and in one shard. An empty table gives an empty manifest.
     Other columns are not read.
     """
     payload = F.coalesce(F.col(html).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    narrow = stored(rows.select("page_id", "digest", F.length("payload").cast("long").alias("payload_bytes")), "payloads")
+    # The digest's first 60 bits: in one order with it, as a number.
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("tie", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+    narrow = stored(rows.select("page_id", "digest", "tie", F.length("payload").cast("long").alias("payload_bytes")), "payloads")
     equal = narrow.where(F.col("payload_bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n"))
     equal = stored(equal.where("n > 1").select("digest", "newest"), "equal-payloads")
-    shards, low, width, count = _shards(narrow, shard_bytes)
-    granule = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("long"), F.lit(0))
+    bounds = _shards(narrow, shard_bytes)
     revisit = (F.col("page_id") != F.col("newest")) | (F.col("page_id").isNull() & F.col("newest").isNotNull())
-    rows = (
-        rows.join(equal, "digest", "left")
-        .withColumn("refers_to", F.when(revisit, F.col("newest")))
-        .withColumn("granule", granule)
-        .join(F.broadcast(shards), "granule", "left")
-        .select(F.coalesce("shard", F.lit(0)).alias("shard"), "page_id", "digest", "url", "refers_to", "payload")
-    )
-    rows = rows.repartitionById(count, F.col("shard")).sortWithinPartitions("page_id", "digest", "url")
+    rows = cut(rows.join(equal, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("newest"))), F.col("page_id"), "tie", bounds)
+    rows = rows.select(F.col(CELL).cast("int").alias("shard"), "page_id", "digest", "url", "refers_to", "payload")
+    rows = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("page_id", "digest", "url")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = None

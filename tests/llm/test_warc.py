@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 from conftest import MEDIUM
+from pyspark.sql import functions as F
 
 from rollcall.llm import warc
 from rollcall.llm.queries import op9_warc
@@ -73,3 +74,12 @@ def test_damage_and_empty_tables(spark, tmp_path):
     file.write_bytes(bytes(data))
     with pytest.raises(Exception, match="incorrect data check|manifest"):
         warc.read(manifest, folder).collect()
+
+
+@pytest.mark.parametrize("outlier", [2**62, None])
+def test_outlying_and_null_ids_do_not_fill_one_shard(spark, tmp_path, outlier):
+    rows = [(None if outlier is None else n, "u", f"page {n} " * 20, "", "") for n in range(2000)] + [(outlier, "u", "far", "", "")]
+    manifest = warc.write(spark.createDataFrame(rows, SCHEMA).repartition(4), f"file://{tmp_path}", shard_bytes=64_000)
+    records = {r.shard: r.n for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()}
+    assert sum(records.values()) == len(rows) and len(records) > 20 and max(records.values()) < 150
+    assert seen(warc.read(manifest, f"file://{tmp_path}").collect()) == expected([(r[0], r[2]) for r in rows])
