@@ -10,6 +10,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,6 +168,7 @@ class Packer:
         self.needs = np.zeros((self.pool + 8, 3))
         self.caps = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], float)
         self.out: list[tuple] = []
+        self.loss: list[int] = []  # of each piece in ``out``
 
     def _longest(self, item: _Item, tokens: int, loss: int) -> int:
         """How many of the item's first tokens fit."""
@@ -177,6 +179,7 @@ class Packer:
 
     def _emit(self, item: _Item, length: int, offset: int) -> None:
         self.out.append((item.key, item.start, item.ids[:length], item.whole, self.first_sequence + self.sequence, offset))
+        self.loss.append(length if item.loss is None else int(item.loss[:length].sum()))
 
     def _rest(self, item: _Item, length: int) -> _Item | None:
         if length == len(item.ids):
@@ -273,19 +276,71 @@ def pack_documents(documents: DataFrame, limits: Limits = Limits(), vocabulary:
                 for row in range(len(texts)):
                     packer.add(keys[first + row], np.concatenate([ids[bounds[row] : bounds[row + 1]], end]))
                 if packer.out:
-                    yield _pieces(packer, with_ids, key_type)
+                    yield _pieces(packer, with_ids, batch.schema.field(0).type)
         packer.finish()
         if packer.out:
-            yield _pieces(packer, with_ids, key_type)
+            yield _pieces(packer, with_ids, batch.schema.field(0).type)
 
     frame = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(frame.dtypes)["key"]]
-    schema = f"{key} {dict(frame.dtypes)['key']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return frame.mapInArrow(pack, schema + (", ids array<int>" if with_ids else ""))
+    return frame.mapInArrow(pack, _schema(frame, key, with_ids))
 
 
-def _pieces(packer: Packer, with_ids: bool, key_type: pa.DataType) -> pa.RecordBatch:
+def _schema(frame: DataFrame, key: str, with_ids: bool) -> str:
+    """Columns of pieces; the key, of any type, keeps its own."""
+    columns = f"`{key}` {dict(frame.dtypes)['key']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return columns + (", ids array<int>" if with_ids else "")
+
+
+def pack_examples(examples: DataFrame, limits: Limits, vocabulary: str | None = None, with_ids: bool = False, key: str = "conv_id", parts: str = "parts") -> DataFrame:
+    """Pack examples for instruction tuning, of which only some parts bear loss, as :func:`pack_documents` packs documents.
+
+    ``parts`` is an array of (text, loss) in order, such as the turns of a conversation with loss on the answers. An example's ids are
+    those of its parts, each tokenised on its own, then ``END_ID``, which bears loss as the last part does. Pieces have a column
+    ``loss_tokens`` more. A null part or text is empty, a null mark bears no loss; a null or empty array has one piece of one id without loss.
+    Null keys, repeated rows, empty tables and other columns: as there. Ids and marks of one example are held in its task.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = WordTokenizer(vocabulary or tokenizer_path())
+        packer = Packer(limits, TaskContext.get().partitionId() << 40)
+        held: list[tuple[np.ndarray, bool]] = []
+
+        def finished(example: object) -> None:
+            last = bool(held and held[-1][1])
+            ids = np.concatenate([*(ids for ids, _ in held), np.array([END_ID], np.uint32)])
+            loss = np.concatenate([*(np.full(len(ids), mark) for ids, mark in held), [last]]).astype(bool)
+            held.clear()
+            packer.add(example, ids, loss)
+
+        for batch in batches:
+            keys, row = batch.column(0).to_pylist(), 0
+            owners = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+            flat = pc.list_flatten(batch.column(1))
+            marks = pc.fill_null(pc.struct_field(flat, "loss"), False).to_numpy(zero_copy_only=False)
+            for first, texts in W.slices(pc.struct_field(flat, "text")):
+                ids, bounds = tokenizer.encode(texts)
+                for at in range(len(texts)):
+                    while row < owners[first + at]:
+                        finished(keys[row])
+                        row += 1
+                    held.append((ids[bounds[at] : bounds[at + 1]], bool(marks[first + at])))
+                if packer.out:
+                    yield _pieces(packer, with_ids, batch.schema.field(0).type, True)
+            for example in keys[row:]:
+                finished(example)
+            if packer.out:
+                yield _pieces(packer, with_ids, batch.schema.field(0).type, True)
+        packer.finish()
+        if packer.out:
+            yield _pieces(packer, with_ids, batch.schema.field(0).type, True)
+
+    frame = examples.select(F.col(key).alias("key"), F.col(parts).cast("array<struct<text:string,loss:boolean>>").alias("parts"))
+    return frame.mapInArrow(pack, _schema(frame, key, with_ids) + ", loss_tokens long")
+
+
+def _pieces(packer: Packer, with_ids: bool, key_type: pa.DataType, with_loss: bool = False) -> pa.RecordBatch:
     rows, packer.out = packer.out, []
+    loss, packer.loss = packer.loss, []
     keys, starts, ids, whole, sequences, offsets = zip(*rows, strict=True)
     lengths = [len(x) for x in ids]
     columns = [
@@ -302,4 +357,7 @@ def _pieces(packer: Packer, with_ids: bool, key_type: pa.DataType) -> pa.RecordB
         bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32))))
         names.append("ids")
+    if with_loss:
+        columns.append(pa.array(loss, pa.int64()))
+        names.append("loss_tokens")
     return pa.RecordBatch.from_arrays(columns, names=names)

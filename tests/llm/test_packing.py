@@ -8,8 +8,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from conftest import MEDIUM
+from pyspark.sql import functions as F
 
-from rollcall.llm.packing import END_ID, Limits, Packer, pack_documents, tokenizer_path
+from rollcall.llm.packing import END_ID, Limits, Packer, pack_documents, pack_examples, tokenizer_path
 from rollcall.llm.queries import op6_packing
 from rollcall.sources import table
 
@@ -81,3 +82,46 @@ def test_limits_hold_together(limits):
         total[key] += len(ids)
     assert total == sizes
     assert all((x <= (limits.tokens, limits.segments, limits.loss_tokens)).all() for x in held.values())
+
+
+def test_keys_of_any_type(spark):
+    frame = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
+    for kind in ("smallint", "decimal(9,2)", "date", "timestamp", "string", "binary"):
+        value = {"date": "date'2024-01-02'", "timestamp": "timestamp'2024-01-02 03:04:05'", "binary": "binary('k')"}.get(kind, f"cast(doc_id as {kind})")
+        keyed = frame.withColumn("doc_id", F.expr(f"if(doc_id is null, null, {value})"))
+        found = pack_documents(keyed)
+        assert found.schema["doc_id"].dataType == keyed.schema["doc_id"].dataType
+        assert {str(r.doc_id) for r in found.collect()} == {str(r.doc_id) for r in keyed.collect()}
+
+
+def test_conversations_under_a_limit_of_loss_tokens(spark):
+    turns = table(spark, MEDIUM, "conversations")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["text"].alias("text"), (t["role"] == "assistant").alias("loss")))
+    examples = turns.groupBy("conv_id").agg(parts.alias("parts")).withColumn("loss_tokens", F.lit("x")).coalesce(2)
+    limits = Limits(512, 6, 128)
+    rows = pack_examples(examples, limits, with_ids=True).collect()
+    expected, marks = {}, {}
+    for r in examples.collect():
+        pieces = [x[:-1] for x in whole_ids([p.text or "" for p in r.parts])]
+        expected[r.conv_id] = [i for x in pieces for i in x] + [END_ID]
+        marks[r.conv_id] = [p.loss for p, x in zip(r.parts, pieces, strict=True) for _ in x] + [r.parts[-1].loss]
+    held, joined = defaultdict(lambda: np.zeros(3, int)), defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.loss_tokens == sum(marks[r.conv_id][r.start : r.start + r.length]) and r.start == len(joined[r.conv_id])
+        joined[r.conv_id] += r.ids
+        held[r.sequence_id] += (r.length, 1, r.loss_tokens)
+    assert joined == expected
+    totals = np.array(list(held.values()))
+    assert (totals <= (512, 6, 128)).all()
+    # The third limit is the one that closes most sequences here.
+    assert (totals[:, 2] >= 120).mean() > 0.5 and (totals[:, 0] == 512).mean() < 0.5
+
+
+def test_edge_examples(spark):
+    rows = [(1, []), (2, None), (3, [(None, None), None, ("a", True)]), (None, [("b c", False)]), (3, [("a", True)])]
+    frame = spark.createDataFrame(rows, "conv_id long, parts array<struct<text:string,loss:boolean>>").coalesce(1)
+    found = defaultdict(lambda: np.zeros(2, int))
+    for r in pack_examples(frame, Limits()).collect():
+        found[r.conv_id] += (r.length, r.loss_tokens)
+    assert {k: tuple(v) for k, v in found.items()} == {1: (1, 0), 2: (1, 0), 3: (4, 4), None: (3, 0)}
+    assert pack_examples(frame.limit(0), Limits()).count() == 0
