@@ -36,18 +36,22 @@ class WordTokenizer:
     Holds for vocabularies that lower-case, whose pre-tokenizer drops white space, sets
     punctuation apart from letters and never joins what stands on both sides of white
     space, so ids of a text are those of its words in order. Words of ASCII bytes are looked up
-    in lower case and without the dots and commas that end them. The memory of known words is
-    emptied when it passes ``known`` words.
+    in lower case and without the dots and commas that end them. The memory of known words, one for each vocabulary
+    in a process, is emptied when it passes ``known`` words.
     """
 
     def __init__(self, path: str, known: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), known
-        self._forget()
+        # A worker process runs many tasks, each with its own copy of this code: vocabulary and known words stay with the library.
+        self.__dict__ = tokenizers.__dict__.setdefault("_rollcall_words", {}).setdefault(path, {})
+        self.known = known
+        if not hasattr(self, "tokenizer"):
+            self.tokenizer = tokenizers.Tokenizer.from_file(path)
+            self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}
