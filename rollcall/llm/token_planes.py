@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import words as W
-from rollcall.llm.packing import END_ID, WordTokenizer, tokenizer_path
+from rollcall.llm.packing import END_ID, TableTokenizer, tokenizer_path
 from rollcall.llm.tables import stored
 
 #: Fixed values of the file format.
@@ -43,72 +43,6 @@ READ_IDS = 1 << 20
 MOST_SHARDS = 1 << 16
 
 
-class TableTokenizer(WordTokenizer):
-    """The same ids, with known words looked up for a whole slice at once in a table of hashes with open addresses."""
-
-    def __init__(self, path: str, known: int = 1_000_000):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tokenizers
-
-        # A worker process runs many tasks, each with its own copy of this code: the vocabulary stays with the library.
-        loaded = tokenizers.__dict__.setdefault("_rollcall_loaded", {})
-        if path not in loaded:
-            loaded[path] = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer, self.known = loaded[path], known
-        self._forget()
-
-    def _forget(self) -> None:
-        super()._forget()
-        self.keys, self.at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-
-    def _found(self, hashes: np.ndarray) -> np.ndarray:
-        """Slot of each hash, -1 where it is not known."""
-        mask = np.uint64(len(self.keys) - 1)
-        place = (hashes & mask).astype(np.int64)
-        held = self.keys[place]
-        slots = np.where(held == hashes, self.at[place], -1)
-        open_ = np.flatnonzero((held != hashes) & (held != 0))
-        while len(open_):
-            place[open_] = (place[open_] + 1) & int(mask)
-            held = self.keys[place[open_]]
-            hit = held == hashes[open_]
-            slots[open_[hit]] = self.at[place[open_[hit]]]
-            open_ = open_[~hit & (held != 0)]
-        return slots
-
-    def _enter(self, hashes: np.ndarray, slots: np.ndarray) -> None:
-        """Put distinct new hashes into the table."""
-        mask = len(self.keys) - 1
-        place = (hashes & np.uint64(mask)).astype(np.int64)
-        left = np.arange(len(hashes))
-        while len(left):
-            free = self.keys[place[left]] == 0
-            self.keys[place[left[free]]] = hashes[left[free]]
-            done = free & (self.keys[place[left]] == hashes[left])
-            self.at[place[left[done]]] = slots[left[done]]
-            left = left[~done]
-            place[left] = (place[left] + 1) & mask
-
-    def _slots(self, words: W.Words) -> np.ndarray:
-        hashes = np.maximum(words.hashes, np.uint64(1))  # 0 marks a free place
-        slots = self._found(hashes)
-        missing = np.flatnonzero(slots < 0)
-        if len(missing):
-            new, example = np.unique(hashes[missing], return_index=True)
-            known = len(self.slot)
-            self._learn(new.tolist(), [words.word(i).decode() for i in missing[example].tolist()])
-            if 2 * len(self.slot) > len(self.keys):
-                old, size = self.slot, 1 << (4 * len(self.slot)).bit_length()
-                self.keys, self.at = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-                self._enter(np.fromiter(old, np.uint64, len(old)), np.fromiter(old.values(), np.int32, len(old)))
-            else:
-                self._enter(new, np.arange(known, known + len(new), dtype=np.int32))
-            slots[missing] = self._found(hashes[missing])
-        return slots
-
-
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
     """The 32 / ``bits`` planes of an array of 32-bit ids, least significant first."""
     as_bytes = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
