@@ -54,8 +54,12 @@ def fleet_at(reg: DataFrame, hb: DataFrame, times: DataFrame, timeout: timedelta
         .select("step.*", F.lit(False).alias("_asked"))
         .unionByName(asked.select("step.*", F.lit(True).alias("_asked")))
         .groupBy("as_of")
-        .agg(*[F.sum(name).alias(name) for name in ("_alive", "_memory", "_listed")], F.max("_asked").alias("_asked"))
-        .withColumn("_all", F.lit(0))
+        .agg(
+            *[F.sum(name).alias(name) for name in ("_alive", "_memory", "_listed")],
+            F.max("_asked").alias("_asked"),
+            # One key for all rows; a literal would be folded out of the join with the hot keys, leaving a nested loop.
+            F.max(F.lit(0)).alias("_all"),
+        )
     )
     totals = {name: (F.sum, f"_{name}") for name in ("alive", "memory", "listed")}
     ordinary, heavy = running(*split_hot(rows, "_all", epoch_micros(rows, "as_of")), "_all", ["as_of"], totals)
