@@ -88,7 +88,29 @@ def queries_of(items: list[tuple[int, str | None]]) -> list[Query]:
     return found
 
 
-class Terms:
+class Known:
+    """Finds known words by the leading bits of their hashes, few of which share a slot."""
+
+    def __init__(self, hashes: set[int]):
+        self.known = np.array(sorted(hashes) or [0], np.uint64)
+        bits = (8 * len(self.known)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.known >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.held = np.diff(self.first) > 0
+        self.steps = int(np.diff(self.first).max()) - 1
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where, which) of the words that are known."""
+        slots = (hashes >> self.shift).astype(np.int64)
+        where = np.flatnonzero(self.held[slots])
+        at, wanted = self.first[slots[where]].astype(np.int64), hashes[where]
+        for _ in range(self.steps):
+            at = np.minimum(at + (self.known[at] < wanted), len(self.known) - 1)
+        same = self.known[at] == wanted
+        return where[same], at[same]
+
+
+class Terms(Known):
     """The benchmark words that tell items apart, by hash; of each segment the six rarest at least."""
 
     def __init__(self, queries: list[Query]):
@@ -97,14 +119,7 @@ class Terms:
         kept = {w for w, n in held.items() if n <= most}
         for q in queries:
             kept |= set(sorted(set(q.words), key=lambda w: (held[w], w))[:6])
-        self.known = np.array(sorted(kept) or [0], np.uint64)
-
-    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where, which) of the words that are terms."""
-        at = np.searchsorted(self.known, hashes)
-        at[at == len(self.known)] = 0
-        where = np.flatnonzero(self.known[at] == hashes)
-        return where, at[where]
+        super().__init__(kept)
 
 
 def _sums(values: np.ndarray, groups: np.ndarray, count: int) -> np.ndarray:
@@ -218,8 +233,9 @@ class Search:
         self.owners, self.first_owner = owners[:, 1], np.searchsorted(owners[:, 0], np.arange(len(self.terms.known) + 1))
         self.needs = np.array(self.needs)
         lengths = np.array([len(q.words) for q in self.queries])
+        self.n_terms = np.array(n_terms)
         windows = -(-(lengths + CHUNK - 1) // CHUNK) * CHUNK
-        own = norms / np.sqrt(np.maximum(norms**2 + self.other * (windows - np.array(n_terms)), 1e-12))
+        own = norms / np.sqrt(np.maximum(norms**2 + self.other * (windows - self.n_terms), 1e-12))
         least = np.minimum(self.limits.cosine * np.minimum(1, lengths / self.limits.long) ** 2, self.limits.share_with_answer * own)
         self.least = least.astype(np.float32)
         # Of each query the term that fewest queries have, and where it stands: sorted by term.
@@ -231,6 +247,13 @@ class Search:
         anchors = np.array(sorted(anchors), np.int64).reshape(-1, 3)
         self.anchors, self.first_anchor = anchors[:, 1:], np.searchsorted(anchors[:, 0], np.arange(len(self.terms.known) + 1))
         self.lengths, self.ends = lengths, np.array([[q.words[0], q.words[-1]] for q in self.queries], np.uint64)
+        # Words of queries that are no terms, as bits: which of them each query has.
+        self.common = Known({w for q in self.queries for w in q.words} - set(self.terms.known.tolist()))
+        self.bits = np.zeros((-(-len(self.common.known) // 64), len(self.queries)), np.uint64)
+        for at, q in enumerate(self.queries):
+            which = np.unique(self.common.of(np.array(q.words, np.uint64))[1])
+            np.bitwise_or.at(self.bits[:, at], which >> 6, np.uint64(1) << (which & 63).astype(np.uint64))
+        self.repeated = np.array([len(q.words) - len(set(q.words)) for q in self.queries])
 
     def exact(self, words: W.Words, where: np.ndarray, which: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int]]:
         """(query, text, place) where a query's words stand together, from the places of terms and their texts."""
@@ -247,7 +270,11 @@ class Search:
         return [(q, t, at - int(words.bounds[t])) for q, t, at in found if tuple(words.hashes[at : at + self.lengths[q]].tolist()) == self.queries[q].words]
 
     def candidates(self, words: W.Words) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, window start, window words, query, cosine) over the cosine limit with terms enough, and of exact passages."""
+        """(text, window start, window words, query, cosine) over the cosine limit with terms enough, and of exact passages.
+
+        Without those that have too few of the query's words, by a count that is never too small: the common ones by bits
+        of chunks, the places of terms, and all that repeat a word of the query, up to the chunks that the margin touches.
+        """
         sizes = np.diff(words.bounds)
         counts = -(-sizes // CHUNK)
         firsts = np.cumsum(counts) - counts
@@ -255,20 +282,25 @@ class Search:
         where, which = self.terms.of(words.hashes)
         if not len(where):
             return
-        owner = np.searchsorted(words.bounds, where, "right") - 1
-        chunk = firsts[owner] + (where - words.bounds[owner]) // CHUNK
         text_of = np.repeat(np.arange(len(sizes)), counts)
         place = np.arange(total) - firsts[text_of]
+        held = np.minimum(sizes[text_of] - place * CHUNK, CHUNK)
+        chunk_of = np.repeat(np.arange(total), held)
+        chunk = chunk_of[where]
+        owner = text_of[chunk]
         running = np.zeros((total + 1, self.vectors.shape[1]), np.float64)
         np.cumsum(_sums(self.vectors[which], chunk, total), axis=0, out=running[1:])
-        others = np.minimum(sizes[text_of] - place * CHUNK, CHUNK) - np.bincount(chunk, minlength=total)
-        others = np.concatenate([[0], np.cumsum(others)])
+        others = np.concatenate([[0], np.cumsum(held - np.bincount(chunk, minlength=total))])
         # Where queries' terms are: sorted by query, then chunk.
         repeats = self.first_owner[which + 1] - self.first_owner[which]
         ends = np.cumsum(repeats)
         at = np.repeat(self.first_owner[which] - (ends - repeats), repeats) + np.arange(ends[-1])
         hits = np.sort(self.owners[at] * (total + 1) + np.repeat(chunk, repeats))
         last = (firsts + counts)[text_of]
+        reach = -(-MARGIN // CHUNK)
+        bits = np.zeros((len(self.bits), reach + total + max(self.groups) + reach), np.uint64)
+        place_of, common = self.common.of(words.hashes)
+        np.bitwise_or.at(bits.reshape(-1), (common >> 6) * bits.shape[1] + reach + chunk_of[place_of], np.uint64(1) << (common & 63).astype(np.uint64))
         exact: dict[int, list[tuple[int, int]]] = {}
         for number, text, at in self.exact(words, where, which, owner):
             chunks, column = self.place[number]
@@ -283,10 +315,20 @@ class Search:
             if chunks in exact:
                 over[tuple(np.array(exact[chunks]).T)] = True
             rows, columns = np.nonzero(over)
-            numbers = members[columns]
-            base = numbers * (total + 1)
-            found = np.searchsorted(hits, base + stop[rows]) - np.searchsorted(hits, base + rows)
-            good = found >= self.needs[numbers]
+            seen = bits[:, :total].copy()
+            for step in range(1, chunks + 2 * reach):
+                seen |= bits[:, step : step + total]
+            numbers, present = members[columns], self.repeated[members[columns]]
+            for seen_bits, query_bits in zip(seen, self.bits, strict=True):
+                present += np.bitwise_count(seen_bits[rows] & query_bits[numbers])
+            least = self.limits.share_with_answer * self.lengths[numbers]
+            good = np.flatnonzero(present + self.n_terms[numbers] >= least)
+            rows, columns, numbers, present, least = rows[good], columns[good], numbers[good], present[good], least[good]
+            base, ends = numbers * (total + 1), stop[rows]
+            low, high = np.maximum(rows - reach, firsts[text_of[rows]]), np.minimum(ends + reach, last[rows])
+            good = np.flatnonzero(present + np.searchsorted(hits, base + high) - np.searchsorted(hits, base + low) >= least)
+            found = np.searchsorted(hits, base[good] + ends[good]) - np.searchsorted(hits, base[good] + rows[good])
+            good = good[found >= self.needs[numbers[good]]]
             for row, number, cosine in zip(rows[good].tolist(), numbers[good].tolist(), cosines[rows[good], columns[good]].tolist(), strict=True):
                 yield int(text_of[row]), int(place[row]) * CHUNK, chunks * CHUNK, number, cosine
 

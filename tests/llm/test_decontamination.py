@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from conftest import MEDIUM
 
-from rollcall.llm.decontamination import Limits, Search, Terms, common_words, decontaminated, leaks, queries_of
+from rollcall.llm.decontamination import MARGIN, Known, Limits, Search, Terms, common_words, decontaminated, leaks, queries_of
 from rollcall.llm.queries import op1_decontamination
 from rollcall.llm.words import ALPHANUMERIC, LOWER, split_words
 from rollcall.sources import table
@@ -117,6 +117,44 @@ def test_exact_passages_of_few_terms():
         assert (1, i, 102) in {(r[0], r[1], r[4]) for r in search.leaks(words)}
 
 
+def test_known_words_of_crowded_slots():
+    draw = random.Random(2)
+    known = {0, 1, 2, 5, (1 << 64) - 1, (1 << 64) - 3, *(draw.getrandbits(64) for _ in range(100)), *(7 << 50 | k for k in range(0, 40, 2))}
+    hashes = [*known, 3, 4, (1 << 64) - 2, *(draw.getrandbits(64) for _ in range(500)), *(7 << 50 | k for k in range(60))]
+    draw.shuffle(hashes)
+    where, which = Known(known).of(np.array(hashes, np.uint64))
+    assert where.tolist() == [k for k, x in enumerate(hashes) if x in known] and [sorted(known)[k] for k in which] == [hashes[k] for k in where]
+    assert not len(Known(set()).of(np.array([5, 1 << 63], np.uint64))[0]) and not len(Known(known).of(np.zeros(0, np.uint64))[0])
+
+
+def test_candidates_have_words_enough():
+    """Two terms of an item give a window cosine and terms enough, but without the item's common words no leak is possible."""
+    draw = random.Random(6)
+    common, filler = [f"common{k}" for k in range(150)], [f"filler{k}" for k in range(500)]
+    items = [(i, " ".join([*draw.sample(common, draw.randrange(10, 60)), *draw.choices(common[:5], k=6), f"own{i}a", f"own{i}b"])) for i in range(70)]
+    texts = ["", "own3a"]
+    for k in range(300):
+        words = items[k % 70][1].split()
+        part = [w if draw.random() < k % 11 / 10 else draw.choice(filler) for w in words[:-2]] + words[-2:]
+        texts.append(" ".join([*draw.choices(filler, k=draw.randrange(40)), *part, *draw.choices(common + filler, k=draw.randrange(90))]))
+    queries = queries_of(items)
+    terms = Terms(queries)
+    search = Search(queries, terms, np.eye(len(terms.known), dtype=np.float32), Limits())
+    assert len(search.bits) > 1  # common words in more than one integer
+    words = split_words(pa.array(texts, pa.large_string()), ALPHANUMERIC, LOWER)
+    found, leaking = set(search.candidates(words)), list(search.leaks(words))
+    search.repeated = search.repeated + 10_000  # so many words are counted that none is left out
+    everything = list(search.candidates(words))
+    able = set()
+    for text, start, span, number, cosine in everything:
+        whole = words.hashes[words.bounds[text] : words.bounds[text + 1]].tolist()
+        window = set(whole[max(start - MARGIN, 0) : start + span + MARGIN])
+        if sum(w in window for w in queries[number].words) >= 0.6 * len(queries[number].words):
+            able.add((text, start, span, number, cosine))
+    assert able and able <= found <= set(everything) and len(found) < 2 * len(able) < len(everything)
+    assert leaking == list(search.leaks(words)) and {k + 2 for k in range(300) if k % 11 == 10} <= {r[0] for r in leaking}
+
+
 def test_empty_tables(spark, corpus):
     documents, benchmark = spark.createDataFrame(corpus[0][:5], SCHEMA), spark.createDataFrame(corpus[1], ITEMS)
     assert leaks(documents.limit(0), benchmark).count() == 0
