@@ -44,6 +44,8 @@ from rollcall.llm.tables import short, spare, stored
 PASSAGE, CHUNK, SEGMENT, MARGIN = 64, 12, 128, 8
 BLOCK = 5_000
 RANK, EXTRA = 80, 10
+SLICE = 1 << 18  # bytes of text searched at once: their vectors stay in a core's cache
+SHORT = 8
 
 
 @dataclass(frozen=True)
@@ -122,12 +124,29 @@ class Terms(Known):
         super().__init__(kept)
 
 
-def _sums(values: np.ndarray, groups: np.ndarray, count: int) -> np.ndarray:
-    """Sums of rows by group number (not decreasing), for groups 0 to count - 1."""
-    result = np.zeros((count, values.shape[1]), values.dtype)
-    if len(groups):
-        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        result[groups[starts]] = np.add.reduceat(values, starts, axis=0)
+def _sums(table: np.ndarray, rows: np.ndarray, groups: np.ndarray, count: int) -> np.ndarray:
+    """Sums of ``table[rows]`` by group number (not decreasing), for groups 0 to count - 1.
+
+    Groups of up to ``SHORT`` rows are summed together, the third row of each to the second, then the fourth; that is
+    the order in which reduceat adds them, too, so sums do not depend on which way a group takes.
+    """
+    result = np.zeros((count, table.shape[1]), table.dtype)
+    if not len(groups):
+        return result
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    sizes = np.diff(np.append(starts, len(groups)))
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        values = table[rows[np.repeat(sizes > SHORT, sizes)]]
+        result[groups[starts[long]]] = np.add.reduceat(values, np.cumsum(sizes[long]) - sizes[long], axis=0)
+    order = np.argsort(-sizes, kind="stable")[len(long) :]
+    starts, sizes = starts[order], sizes[order]
+    longer = len(sizes) - np.cumsum(np.bincount(sizes, minlength=2))  # at k: groups of more than k rows
+    sums, others = table[rows[starts]], table[rows[starts[: longer[1]] + 1]]
+    for step in range(2, len(longer) - 1):
+        others[: longer[step]] += table[rows[starts[: longer[step]] + step]]
+    sums[: len(others)] += others
+    result[groups[starts]] = sums
     return result
 
 
@@ -153,10 +172,10 @@ def latent_terms(documents: DataFrame, terms: Terms, rank: int = RANK, extra: in
                 owner = np.searchsorted(words.bounds, where, "right") - 1
                 passage = firsts[owner] + (where - words.bounds[owner]) // PASSAGE
                 total = int(counts.sum())
-                projected = _sums(test[which], passage, total)
+                projected = _sums(test, which, passage, total)
                 order = np.argsort(which.astype(np.uint16) if size < 1 << 16 else which, kind="stable")
                 which, passage = which[order], passage[order]
-                product += _sums(projected[passage], which, size)
+                product += _sums(projected, passage, which, size)
                 new = np.concatenate([[True], (which[1:] != which[:-1]) | (passage[1:] != passage[:-1])])
                 frequency += np.bincount(which[new], minlength=size)
                 passages += total
@@ -289,7 +308,7 @@ class Search:
         chunk = chunk_of[where]
         owner = text_of[chunk]
         running = np.zeros((total + 1, self.vectors.shape[1]), np.float64)
-        np.cumsum(_sums(self.vectors[which], chunk, total), axis=0, out=running[1:])
+        np.cumsum(_sums(self.vectors, which, chunk, total), axis=0, out=running[1:])
         others = np.concatenate([[0], np.cumsum(held - np.bincount(chunk, minlength=total))])
         # Where queries' terms are: sorted by query, then chunk.
         repeats = self.first_owner[which + 1] - self.first_owner[which]
@@ -382,7 +401,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searched = Search(block, terms, vectors, limits)
             for batch in batches:
-                for first, texts in W.slices(batch.column(1)):
+                for first, texts in W.slices(batch.column(1), SLICE):
                     found = list(searched.leaks(W.split_words(texts, W.ALPHANUMERIC, W.LOWER)))
                     if found:
                         at, *rest = zip(*found, strict=True)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from conftest import MEDIUM
 
-from rollcall.llm.decontamination import MARGIN, Known, Limits, Search, Terms, common_words, decontaminated, leaks, queries_of
+from rollcall.llm.decontamination import MARGIN, Known, Limits, Search, Terms, _sums, common_words, decontaminated, leaks, queries_of
 from rollcall.llm.queries import op1_decontamination
 from rollcall.llm.words import ALPHANUMERIC, LOWER, split_words
 from rollcall.sources import table
@@ -127,6 +127,19 @@ def test_known_words_of_crowded_slots():
     assert not len(Known(set()).of(np.array([5, 1 << 63], np.uint64))[0]) and not len(Known(known).of(np.zeros(0, np.uint64))[0])
 
 
+@pytest.mark.parametrize("sizes", [[], [1], [3, 0, 1, 0, 0, 2], [200, 1, 8, 9, 0, 7], [70, 90], [0, 8, 8]])
+def test_sums_by_group(sizes):
+    draw = np.random.default_rng(4)
+    table, groups = draw.integers(-99, 99, (50, 7)).astype(np.float32), np.repeat(np.arange(len(sizes)), sizes)
+    rows = draw.integers(0, 50, len(groups))
+    expected = np.array([table[rows[groups == k]].sum(axis=0) for k in range(len(sizes) + 2)])
+    assert np.array_equal(_sums(table, rows, groups, len(sizes) + 2), expected)
+    fractions = draw.standard_normal((50, 7)).astype(np.float32)
+    found = _sums(fractions, rows, groups, len(sizes) + 2)
+    for k in set(groups.tolist()):  # no other rounding, either
+        assert np.array_equal(found[k], np.add.reduceat(fractions[rows[groups == k]], [0], axis=0)[0])
+
+
 def test_candidates_have_words_enough():
     """Two terms of an item give a window cosine and terms enough, but without the item's common words no leak is possible."""
     draw = random.Random(6)
